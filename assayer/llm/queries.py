@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import secrets, simhash
+from assayer.llm import secrets, simhash, substring
 from assayer.llm.shared import table
 
 
@@ -13,9 +13,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.intervals(table(spark, sf_dir, "documents")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op9_secrets": op9_secrets}
+QUERIES = {"op6_simhash": op6_simhash, "op7_substring": op7_substring, "op9_secrets": op9_secrets}
 ORACLES: dict[str, str] = {}
