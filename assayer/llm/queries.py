@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import secrets, simhash, substring
+from assayer.llm import decontam, secrets, simhash, substring
 from assayer.llm.shared import table
 
 
@@ -21,5 +21,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op7_substring": op7_substring, "op9_secrets": op9_secrets}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op6_simhash": op6_simhash, "op7_substring": op7_substring, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
