@@ -3,9 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import decontam, secrets, simhash, substring
-from assayer.llm.shared import table
+from assayer.llm import decontam, langid, quality, secrets, simhash, substring, toxicity
+from assayer.llm.shared import fold, table
+
+
+def _held_out(n: int, k: int):
+    return F.coalesce(fold("doc_id", n) == k, F.lit(False)).alias("held_out")
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 5) != 0))
+    return langid.predict(docs, model).select("doc_id", _held_out(5, 0), "lang_pred", "score", "distance", "rejected")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    return quality.scores(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 4) != 2))
+    return toxicity.scores(docs, model).select("doc_id", _held_out(4, 2), "score", "predicted")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +48,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op7_substring": op7_substring, "op9_secrets": op9_secrets, "op10_decontamination": op10_decontamination}
+QUERIES = {
+    "op1_language": op1_language,
+    "op4_quality": op4_quality,
+    "op6_simhash": op6_simhash,
+    "op7_substring": op7_substring,
+    "op8_toxicity": op8_toxicity,
+    "op9_secrets": op9_secrets,
+    "op10_decontamination": op10_decontamination,
+}
 ORACLES: dict[str, str] = {}
