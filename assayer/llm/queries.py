@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontam, langid, quality, secrets, simhash, substring, toxicity
+from assayer.llm import decontam, langid, quality, secrets, sentencepieces, simhash, substring, toxicity
 from assayer.llm.shared import fold, table
 
 
@@ -19,6 +19,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", _held_out(5, 0), "lang_pred", "score", "distance", "rejected")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = sentencepieces.MODEL_PATH) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2("text", 256).alias("text_sha256"))
+    found = sentencepieces.round_trip(docs, sentencepieces.Model.read(model_path), keep=("doc_id", "text_sha256"))
+    decoded = F.sha2("decoded", 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"), (decoded == F.coalesce("text_sha256", F.sha2(F.lit(""), 256))).alias("round_trip"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(fold("doc_id", 5) != 0))
@@ -50,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op7_substring": op7_substring,
