@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontam, langid, quality, secrets, sentencepieces, simhash, substring, toxicity
-from assayer.llm.shared import fold, table
+from assayer.llm import decontam, langid, quality, secrets, sentencepieces, simhash, substring, toxicity, warc
+from assayer.llm.shared import fold, fresh_path, table
 
 
 def _held_out(n: int, k: int):
@@ -32,6 +32,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, model).select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    # the payload is asked for, so sizes and digests of responses are those of what the archive holds
+    found = warc.read(spark, path, "record_type string, page_id bigint, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 4) != 2))
@@ -59,6 +67,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_substring": op7_substring,
     "op8_toxicity": op8_toxicity,
