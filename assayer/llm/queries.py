@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontam, langid, quality, secrets, sentencepieces, simhash, substring, toxicity, warc
+from assayer.llm import decontam, langid, quality, secrets, sentencepieces, simhash, spotsigs, substring, toxicity, warc
 from assayer.llm.shared import fold, fresh_path, table
 
 
@@ -19,6 +19,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", _held_out(5, 0), "lang_pred", "score", "distance", "rejected")
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = sentencepieces.MODEL_PATH) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2("text", 256).alias("text_sha256"))
     found = sentencepieces.round_trip(docs, sentencepieces.Model.read(model_path), keep=("doc_id", "text_sha256"))
@@ -65,6 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_spotsigs": op2_spotsigs,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,

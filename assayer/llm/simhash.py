@@ -101,16 +101,16 @@ def majority(h: np.ndarray, per: np.ndarray) -> np.ndarray:
     return result
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns and `fp`, the fingerprint as a signed long."""
+def with_fingerprint(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "fp") -> DataFrame:
+    """The `keep` columns and the fingerprint as a signed long."""
     chosen = df.select(*keep, F.col(text).alias("__text"))
 
     def run(batches):
         for b in batches:
             fp = pa.array(signed(fingerprints(column(b, "__text"))), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*keep, out])
 
-    return chosen.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.select(*keep).dtypes), "fp bigint"]))
+    return chosen.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.select(*keep).dtypes), f"{out} bigint"]))
 
 
 # The index over one group, or over many small groups at once
