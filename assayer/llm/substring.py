@@ -4,9 +4,10 @@ A word goes when a window over it also starts in a document with a smaller id. M
 would cost several times the input, so windows that can't repeat, and runs that repeat whole, are settled
 by fewer rows, without loss:
 
-* Cuts are words whose five-word hash is divisible by twelve, so equal text has equal cuts. A window can
-  only stand in two documents if each cut in it does; other windows are never sent.
-* Every fourth cut or so starts a chunk. A chunk's key hashes all words that its windows span. If a smaller
+* Cuts are words whose five-word hash is divisible by twenty, so equal text has equal cuts. A window can
+  only stand in two documents if each cut in it does; one without a cut answers by its smallest five-word
+  hash instead. Other windows are never sent.
+* Some of the words start a chunk, again by their five-word hash. A chunk's key hashes all words that its windows span. If a smaller
   document holds the same key, all windows of the chunk repeat. The smallest holder of any window lies in
   a chunk that isn't settled so, hence it is enough to count the windows of the other chunks.
 
@@ -30,7 +31,7 @@ from assayer.llm.text import SPACES, U64, Grams, Words, blocks, column, gram_sta
 
 WINDOW = 50
 GRAM = 5
-CUT = 12
+CUT = 20
 CHUNK = 48
 
 
@@ -51,6 +52,15 @@ class _Block:
         g = self.grams.spans(at, at + GRAM)
         cut = g % U64(CUT) == 0
         self.cuts, self.cut_keys = at[cut], g[cut]
+        # windows without a cut, and the smallest five-word hash of each
+        n_cuts = np.zeros(len(h) + 1, np.int64)
+        n_cuts[self.cuts + 1] = 1
+        n_cuts = np.cumsum(n_cuts)
+        inner = window - GRAM + 1
+        self.bare = np.flatnonzero(n_cuts[self.windows + inner] == n_cuts[self.windows])
+        all_grams = np.full(len(h), U64(2**64 - 1))
+        all_grams[at] = g
+        self.bare_keys = _sliding_min(all_grams, inner, self.windows[self.bare])
         # chunks: runs of window starts of one text, begun by its first window or a chunk cut
         can = np.zeros(len(h) + 1, bool)
         can[self.windows] = True
@@ -82,7 +92,18 @@ class _Block:
         alone = np.zeros(len(self.doc) + 1, np.int64)
         alone[self.cuts[~self.among(self.doc[self.cuts], self.cut_keys, grams)] + 1] = 1
         alone = np.cumsum(alone)
-        return settled, ~settled & (alone[self.windows + self.window - GRAM + 1] == alone[self.windows])
+        may = alone[self.windows + self.window - GRAM + 1] == alone[self.windows]
+        may[self.bare] = self.among(self.doc[self.windows[self.bare]], self.bare_keys, grams)
+        return settled, ~settled & may
+
+
+def _sliding_min(x: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """The smallest of x[i : i + size] for each i in `at`, by doubling."""
+    span, low = 1, x
+    while span * 2 <= size:
+        low = np.minimum(low[:-span], low[span:]) if len(low) > span else low
+        span *= 2
+    return np.minimum(low[at], low[at + size - span])
 
 
 def _in_doc(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -106,8 +127,9 @@ def _keys(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for part, x in _each_block(batches, window):
             ids = np.asarray(column(part, "doc"))
-            at = np.concatenate([x.cuts, x.chunks])
-            yield _rows(ids, x.doc[at], np.concatenate([x.cut_keys, x.chunk_keys]), np.concatenate([np.zeros(len(x.cuts), U64), x.chunk_checks]))
+            at = np.concatenate([x.cuts, x.windows[x.bare], x.chunks])
+            zero = np.zeros(len(x.cuts) + len(x.bare), U64)
+            yield _rows(ids, x.doc[at], np.concatenate([x.cut_keys, x.bare_keys, x.chunk_keys]), np.concatenate([zero, x.chunk_checks]))
 
     return docs.where("doc is not null").mapInArrow(run, "k1 bigint, k2 bigint, doc bigint")
 
@@ -135,7 +157,8 @@ def intervals(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
             yield _rows(ids, x.doc[at], x.grams.spans(at, at + window), x.second.spans(at, at + window))
 
     counted = known.mapInArrow(count, "k1 bigint, k2 bigint, doc bigint")
-    repeated = _shared(counted).where("lo < doc").groupBy("doc").agg(F.collect_list("k1").alias("windows"))
+    first = counted.groupBy("k1", "k2").agg(F.min("doc").alias("lo"))
+    repeated = counted.join(first, ["k1", "k2"]).where("lo < doc").groupBy("doc").agg(F.collect_list("k1").alias("windows"))
 
     def remove(batches):
         for part, x in _each_block(batches, window):
