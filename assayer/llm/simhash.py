@@ -263,14 +263,14 @@ def links(nodes: DataFrame, buckets: int = _BUCKETS, hot_rows: int = _HOT_ROWS)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links."""
+    """(doc_id, fp, root, component_id) of every row; root is the component's smallest fingerprint, component_id the smallest doc_id reachable over links."""
     docs = checkpointed(with_fingerprint(df, text, (doc_id,)).withColumnRenamed(doc_id, "doc_id"))
     nodes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = connected_components(links(nodes.select("fp")))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = placed.join(named, "root").select("fp", "root", "component_id")
+    return docs.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex16(fp: str = "fp"):

@@ -7,7 +7,7 @@
 5. tokens: SentencePiece ids are added, and texts that don't survive encoding and decoding are marked.
 
 Defined cases: null and empty texts leave in stage 1; documents without a doc_id pass stage 2 only where no document with one is
-linked to them (one of each fingerprint), and of repeated rows (one doc_id and text) one stays; columns beside those of `documents` pass through.
+linked to them, and of repeated rows (one doc_id and text) one stays; columns beside those of `documents` pass through.
 """
 
 from __future__ import annotations
@@ -32,16 +32,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     apart by their fingerprint, and repeated rows by a number.
     """
     found = checkpointed(simhash.near_duplicates(docs))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one row for each component: ids may repeat, so the smallest fingerprint decides
-    stay = stay.groupBy("component_id", "doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("own")).agg(F.min("fp").alias("fp"))
-    ids = stay.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("fp").alias("__fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s")
+    ids = found.groupBy("root").agg(first).select(F.coalesce("s.doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("s.fp").alias("__fp"))
     keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     kept = keyed.join(ids, "__id")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
         prints = simhash.with_fingerprint(kept, "text", tuple(kept.columns), out="__own").where("__own = __fp")
-        order = Window.partitionBy("__id").orderBy(F.xxhash64("text"), *(c for c in docs.columns if c != "doc_id"))
+        order = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64("text"), *(c for c in docs.columns if c != "doc_id"))
         kept = prints.withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return kept.select(*docs.columns)
 
