@@ -46,13 +46,13 @@ def concentration(history: DataFrame, touches: int = 4, span_days: float = 60, a
     return out.where(days_between(F.col("head"), F.col("active")) <= active_days).select("path", "owner", "touches")
 
 
-def stale(history: DataFrame, stale_days: float = 180, active_days: float = 90) -> DataFrame:
-    """Paths whose last change is older than the larger of `stale_days` and half the history, and none of whose authors is active."""
+def stale(history: DataFrame, stale_days: float = 180, active_days: float = 90, history_share: float = 0.5) -> DataFrame:
+    """Paths whose last change is older than the larger of `stale_days` and half the history (or another share), and none of whose authors is active."""
     h = head(history).crossJoin(history.agg(F.min("ts").alias("start")))
     active = last_active(history)
     silent = history.select("path", "author").distinct().join(active, "author").groupBy("path").agg(F.max("active").alias("active"))
     per = history.groupBy("path").agg(F.max("ts").alias("last")).join(silent, "path").crossJoin(F.broadcast(h))
-    limit = F.greatest(F.lit(float(stale_days)), days_between(F.col("head"), F.col("start")) / 2)
+    limit = F.greatest(F.lit(float(stale_days)), days_between(F.col("head"), F.col("start")) * history_share)
     return per.where((days_between(F.col("head"), F.col("last")) > limit) & (days_between(F.col("head"), F.col("active")) > active_days)).select("path", "last")
 
 

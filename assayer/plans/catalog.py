@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from assayer.plans import queries_fold, queries_markup, queries_relational, queries_text  # noqa: F401  they register
+from assayer.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
