@@ -54,7 +54,7 @@ def sarif_positions(findings: DataFrame) -> DataFrame:
 
 def sarif(findings: DataFrame, rules: DataFrame, tool: str = "assayer", version: str = "1") -> DataFrame:
     """One row with a SARIF 2.1.0 document."""
-    placed = sarif_positions(findings).join(F.broadcast(rules.withColumnRenamed("concept", "rule_id")), "rule_id", "left")
+    placed = sarif_positions(findings).join(F.broadcast(rules.select(F.col("concept").alias("rule_id"), "also", "cwe", "title")), "rule_id", "left")
     end = F.when(F.coalesce("end_line", F.lit(0)) >= F.col("line"), F.col("end_line")).otherwise(F.col("line"))
     region = F.when(F.coalesce("line", F.lit(0)) > 0, F.struct(F.col("line").alias("startLine"), end.alias("endLine")))
     location = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
