@@ -35,7 +35,7 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _BASES = (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
 _LONG = 64
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 _NONE = np.int64(1 << 62)
 
 
@@ -116,6 +116,9 @@ class Model:
         t["chars"] = np.zeros((len(usable), 16), np.uint32)
         for row, i in enumerate(usable):
             t["chars"][row, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
+        t["alphabet"], t["char_index"] = np.unique(t["chars"], return_inverse=True)
+        t["char_index"] = t["char_index"].reshape(t["chars"].shape)
+        t["inside"] = np.arange(16) < t["length"][:, None]
         order = sorted(set(self.scores), reverse=True)
         place = {s: k for k, s in enumerate(order)}
         t["rank"] = np.array([place[s] for s in self.scores], np.int64)
@@ -132,6 +135,22 @@ class Model:
         return [byte.get(b, self.tables["unknown"]) for b in char.encode()] if byte else [self.tables["unknown"]]
 
 
+def _sorted_suffixes(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of the suffixes: by the first key, and where that ties by the others."""
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    tied = np.zeros(len(order), bool)
+    same = first[1:] == first[:-1]
+    tied[1:] |= same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    if len(at) and len(keys) > 1:
+        group = np.cumsum(np.concatenate([[True], ~same]))[at]
+        sub = order[at]
+        order[at] = sub[np.lexsort((*(k[sub] for k in keys[:0:-1]), group))]
+    return order
+
+
 class Index:
     """The suffix array of an index text, and the edges that the pieces have in it."""
 
@@ -139,23 +158,33 @@ class Index:
         """chars: code points; 0 stands between segments."""
         t = model.tables
         alphabet, code = np.unique(chars, return_inverse=True)
-        if len(alphabet) > 0xFFF0:
-            raise OverflowError("too many different characters in a block")
-        n = len(chars)
-        code = np.concatenate([code.astype(U64) + U64(alphabet[0] != 0), np.zeros(16, U64)])
-        word = (code[:-3] << U64(48)) | (code[1:-2] << U64(32)) | (code[2:-1] << U64(16)) | code[3:]
-        keys = [word[4 * k : 4 * k + n] for k in range(4)]
-        self.suffixes = np.lexsort(keys[::-1])
+        n, shift0 = len(chars), int(alphabet[0] != 0)
+        # as many characters as fit go into one key, so that one key orders most suffixes
+        bits = max(1, (len(alphabet) + shift0).bit_length())
+        per = min(16, 64 // bits)
+        code = np.concatenate([code.astype(U64) + U64(shift0), np.zeros(32, U64)])
+        shifts = (U64(bits) * np.arange(per - 1, -1, -1).astype(U64)).astype(U64)
+        word = np.zeros(n + 16, U64)
+        for j in range(per):
+            word |= code[j : j + n + 16] << shifts[j]
+        n_keys = -(-16 // per)
+        keys = [word[per * k : per * k + n] for k in range(n_keys)]
+        self.suffixes = _sorted_suffixes(keys)
         keys = [k[self.suffixes] for k in keys]
         # pieces in the block's alphabet
-        at = np.minimum(np.searchsorted(alphabet, t["chars"]), len(alphabet) - 1)
-        inside = np.arange(16) < t["length"][:, None]
-        known = ((alphabet[at] == t["chars"]) | ~inside).all(axis=1)
-        own = (at[known] + int(alphabet[0] != 0)).astype(U64)
-        inside, length, ids = inside[known], t["length"][known], t["id"][known]
-        shifts = U64(16) * np.arange(3, -1, -1).astype(U64)
-        pack = lambda fill: (np.where(inside, own, U64(fill)).reshape(-1, 4, 4) << shifts).sum(axis=2, dtype=U64)
-        low, high = self._search(keys, pack(0), False), self._search(keys, pack(0xFFFF), True)
+        at = np.minimum(np.searchsorted(alphabet, t["alphabet"]), len(alphabet) - 1)
+        has = alphabet[at] == t["alphabet"]
+        known = (has[t["char_index"]] | ~t["inside"]).all(axis=1)
+        own = (at + shift0).astype(U64)[t["char_index"][known]]
+        inside, length, ids = t["inside"][known], t["length"][known], t["id"][known]
+
+        def pack(fill: int) -> np.ndarray:
+            c = np.zeros((len(ids), n_keys * per), U64)
+            c[:, :16] = np.where(inside, own, U64(fill))
+            c[:, 16:] = U64(fill)
+            return np.bitwise_or.reduce(c.reshape(len(ids), n_keys, per) << shifts, axis=2)
+
+        low, high = self._search(keys, pack(0), False), self._search(keys, pack((1 << bits) - 1), True)
         # edges by place: one slot for each place and length
         count = high - low
         piece = np.repeat(np.arange(len(ids)), count)
@@ -170,7 +199,7 @@ class Index:
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
             less, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
-            for k in (1, 2, 3):
+            for k in range(1, len(keys)):
                 have, need = keys[k][mid], want[open_, k]
                 less |= equal & (have < need)
                 equal &= have == need
@@ -248,8 +277,39 @@ def _relax_long(rank: np.ndarray, edges: np.ndarray, seg: int, start: int, end:
     return np.full(len(at), seg), at + start, np.array(size, np.int64)[at]
 
 
-def encode(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of the texts of one block."""
+class Known:
+    """The ids of segments that a task has met, so that a block indexes only what is new to the task; emptied when it holds `most`."""
+
+    def __init__(self, most: int = 200_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.check = np.zeros(0, U64), np.zeros(0, U64)
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each segment, -1 for a new one. A hash held with another check counts as new."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where((self.hash[at] == h) & (self.check[at] == check), at, -1)
+
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(self.hash) + len(h) > self.most:
+            self.clear()
+        if len(h) > self.most:
+            return
+        start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        all_h = np.concatenate([self.hash, h])
+        order = np.argsort(all_h, kind="stable")
+        self.hash, self.start = all_h[order], start[order]
+        self.check, self.count = np.concatenate([self.check, check])[order], np.concatenate([self.count, counts])[order]
+
+
+def encode(model: Model, texts: pa.Array, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of the texts of one block; `known` carries segments from block to block."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if model.dummy_prefix:
         texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
@@ -278,23 +338,39 @@ def encode(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
     if (check[rep][inverse] != check).any():  # two segments with one hash: take each by itself
         rep, inverse = np.arange(len(starts)), np.arange(len(starts))
-    parts = [data[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)]
-    joined = b"\0".join(x.replace(b"\0", mark + b"\0\0") if b"\0" in x else x for x in parts) if b"\0" in data else b"\0".join(parts)
-    if b"\0" in data:  # a text with NUL characters: no separator is safe, so segments are indexed one by one
-        return _encode_plain(model, parts, inverse, np.searchsorted(starts, offsets))
+    first = np.searchsorted(starts, offsets)
+    known = Known() if known is None else known
+    place = known.find(h[rep], check[rep])
+    new = np.flatnonzero(place < 0)
+    parts = [data[a:b] for a, b in zip(starts[rep[new]].tolist(), ends[rep[new]].tolist(), strict=True)]
+    ids, counts = _encode_parts(model, parts)
+    # all distinct segments in order: the known ones' ids stand before those of the new ones
+    start = np.zeros(len(rep), np.int64)
+    n = np.zeros(len(rep), np.int64)
+    old = np.flatnonzero(place >= 0)
+    start[old], n[old] = known.start[place[old]], known.count[place[old]]
+    start[new], n[new] = len(known.ids) + np.cumsum(counts) - counts, counts
+    pool = np.concatenate([known.ids, ids.astype(np.int32)])
+    out = _spread(pool, start, n, inverse, first)
+    known.add(h[rep[new]], check[rep[new]], ids, counts)
+    return out
+
+
+def _encode_parts(model: Model, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct segments, end to end, and their numbers."""
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    joined = b"\0".join(parts)
+    if joined.count(b"\0") >= len(parts):  # a text with NUL characters: no separator is safe, so segments are indexed one by one
+        return _encode_alone(model, parts)
     text = joined.decode().replace(" ", SPACE)
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     breaks = np.flatnonzero(chars == 0)
     begin, end = np.concatenate([[0], breaks + 1]), np.append(breaks, len(chars))
-    try:
-        index = Index(model, chars)
-    except OverflowError:
-        return _encode_plain(model, parts, inverse, np.searchsorted(starts, offsets))
+    index = Index(model, chars)
     seg, at, size = relax(model, index, begin, end)
-    ids = index.edges[at * 16 + size - 1]
-    ids, seg = _with_fallback(model, ids, seg, at, text)
-    counts = np.bincount(seg, minlength=len(rep))
-    return _spread(ids, counts, inverse, np.searchsorted(starts, offsets))
+    ids, seg = _with_fallback(model, index.edges[at * 16 + size - 1], seg, at, text)
+    return ids, np.bincount(seg, minlength=len(parts))
 
 
 def _with_fallback(model: Model, ids: np.ndarray, seg: np.ndarray, at: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -309,16 +385,15 @@ def _with_fallback(model: Model, ids: np.ndarray, seg: np.ndarray, at: np.ndarra
     return flat, np.repeat(seg, times)
 
 
-def _spread(ids: np.ndarray, counts: np.ndarray, inverse: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spread(ids: np.ndarray, start: np.ndarray, counts: np.ndarray, inverse: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all segments in order, from those of the distinct ones."""
-    start = np.cumsum(counts) - counts
     n = counts[inverse]
     total = np.cumsum(n)
     flat = ids[np.arange(total[-1] if len(total) else 0) - np.repeat(total - n, n) + np.repeat(start[inverse], n)]
-    return flat.astype(np.int32), np.concatenate([[0], total])[first]
+    return flat.astype(np.int32, copy=False), np.concatenate([[0], total])[first]
 
 
-def _encode_plain(model: Model, parts: list[bytes], inverse: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encode_alone(model: Model, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Segments that can't share an index text: each gets its own."""
     out, counts = [], []
     for part in parts:
@@ -329,7 +404,7 @@ def _encode_plain(model: Model, parts: list[bytes], inverse: np.ndarray, first:
         ids, seg = _with_fallback(model, index.edges[at * 16 + size - 1], seg, at, text)
         out.append(ids)
         counts.append(len(ids))
-    return _spread(np.concatenate(out), np.array(counts), inverse, first)
+    return np.concatenate(out), np.array(counts)
 
 
 def decode(model: Model, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -365,8 +440,10 @@ def encoded(df: DataFrame, model: Model, text: str = "text", out: str = "ids") -
     df = df.drop(out) if out != text else df
 
     def run(batches):
+        # a worker keeps the model, and so the segments, from task to task
+        known = held.value.tables.setdefault("known", Known())
         for part in _blocks(batches, text):
-            ids, offsets = encode(held.value, column(part, text))
+            ids, offsets = encode(held.value, column(part, text), known)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, _fields_of(df, f"`{out}` array<int>"))
@@ -393,8 +470,10 @@ def round_trip(df: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     chosen = df.select(*keep, F.col(text).alias("__text"))
 
     def run(batches):
+        # a worker keeps the model, and so the segments, from task to task
+        known = held.value.tables.setdefault("known", Known())
         for part in _blocks(batches, "__text"):
-            ids, offsets = encode(held.value, column(part, "__text"))
+            ids, offsets = encode(held.value, column(part, "__text"), known)
             back = pa.array(decode(held.value, ids, offsets), pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), back], names=[*keep, "ids", "decoded"])
 

@@ -136,7 +136,7 @@ def gram_starts(first: np.ndarray, k: int) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes of text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     if not len(sizes):

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import decontam, langid, secrets, sentencepieces, simhash
-from assayer.llm.shared import checkpointed, fresh_path, table
+from assayer.llm.shared import bounded_batches, checkpointed, fresh_path, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
@@ -31,6 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The ids that stay are found from fingerprints alone. The text side is joined once, by doc_id; repeated doc_ids are told
     apart by their fingerprint, and repeated rows by a number.
     """
+    bounded_batches(spark)
     found = checkpointed(simhash.near_duplicates(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("s")
     ids = found.groupBy("root").agg(first).select(F.coalesce("s.doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("s.fp").alias("__fp"))
@@ -49,10 +51,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return secrets.redact(docs, length="n_chars")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = sentencepieces.MODEL_PATH) -> DataFrame:
+    bounded_batches(spark)
     found = sentencepieces.round_trip(docs, sentencepieces.Model.read(model_path), keep=tuple(docs.columns))
     return found.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
