@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import shapes
 from assayer.functions import text as T
+from assayer.operators.common import checkpointed
 from assayer.plans import fold as FO
 from assayer.plans import rubric, rules, sinks
 from assayer.sources import tables
@@ -152,18 +153,24 @@ class Scan:
 
 
 def scan_sources(spark: SparkSession, sources: DataFrame, quality_bar: str | None = None) -> Scan:
-    """Everything a scan of rows (path, text, is_binary, is_test, is_generated) gives."""
-    parsed = tables.code(sources)
-    projects = tables.projects(sources)
+    """Everything a scan of rows (path, text, is_binary, is_test, is_generated) gives.
+
+    Facts, findings and measurements are read several times, so each is written once as a reliable checkpoint.
+    """
+    parsed = checkpointed(tables.code(sources))
+    projects = checkpointed(tables.projects(sources))
     listed, checks = checklists(sources)
+    checks = checkpointed(checks)
     parts = [code_findings(parsed), unused_members(parsed), line_findings(sources), markup_findings(sources), rules.judged(tables.containers(sources), rules.CONTAINER_RULES), project_findings(projects), listed]
-    findings = reduce(DataFrame.unionByName, parts)
+    findings = checkpointed(reduce(DataFrame.unionByName, parts))
     count = lambda df, test, name: df.agg(F.coalesce(F.count_if(test), F.lit(0)).alias(name))
     loc = parsed.agg(F.coalesce(F.sum(F.when(~F.col("is_test"), F.col("loc"))), F.lit(0)).alias("loc"))
     sizes = loc.crossJoin(count(sources, F.col("path").rlike(r"\.(html?|razor|cshtml)$"), "n_pages")).crossJoin(count(sources, F.col("path").rlike(r"(?i)dockerfile|\.ya?ml$|\.tf$"), "n_surface"))
     sizes = sizes.crossJoin(count(projects, F.col("role") != "Test", "n_projects")).crossJoin(count(tables.exploded(parsed, "methods"), F.col("is_test"), "n_tests"))
+    sizes = checkpointed(sizes)
     surfaces = sizes.select((F.col("loc") / 1000.0).alias("kloc"), (F.col("n_pages") / 10.0).alias("pages"), (F.col("n_surface") / 4.0).alias("surface"), (F.col("n_projects") / 4.0).alias("projects4"), F.col("n_tests").cast("double").alias("tests"), F.lit(1.0).alias("one"))
     measured = measurements(findings, surfaces).unionByName(checks.select("id", "score", F.lit(1.0).alias("confidence"), F.lit(1.0).alias("coverage"), F.lit(False).alias("advisory")))
+    measured = checkpointed(measured)
     dims = rubric.dimensions_table(spark)
     kept = sinks.prune_postures(findings, measured)
     placed = measured.join(F.broadcast(dims.select("id", "lens", "category")), "id").withColumn("bundle_id", F.lit("scan"))

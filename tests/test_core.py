@@ -73,7 +73,7 @@ def test_many_bundles_fold_at_once(spark):
 
 def test_shapes(spark):
     row = spark.range(1).select(shapes.share(F.lit(0.2), 0.2).alias("a"), shapes.share(F.lit(0.6), 0.2).alias("b"), shapes.check(F.lit(1), F.lit(4)).alias("c"), shapes.check(F.lit(0), F.lit(0)).alias("d"), shapes.score2(F.lit(0.125)).alias("e"), shapes.even2(F.lit(0.125)).alias("f"), shapes.score2(F.lit(12.0)).alias("g")).first()
-    assert tuple(row) == (0.0, 5.0, 2.5, 10.0, 0.13, 0.12, 10.0)
+    assert tuple(row) == pytest.approx((0.0, 5.0, 2.5, 10.0, 0.13, 0.12, 10.0))
     found = spark.createDataFrame([("d", "a", 1.0), ("d", "a", 1.0), ("d", None, 1.0), ("d", None, 2.0)], "g string, file string, weight double")
     assert shapes.findings_load(found, ["g"]).first().load == pytest.approx(0.75 + 0.875)
 
