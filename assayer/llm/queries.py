@@ -79,4 +79,36 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+#: The other operators' results rest on models, on hashes or on readings that SQL has no words for; tests hold those against brute force.
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+        ), d AS (
+            SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS largest FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+        FROM d
+    """,
+    "op7_substring": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
+        ), windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM starts
+        ), judged AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) < doc_id AS repeated FROM windows
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM judged WHERE repeated
+        ), numbered AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY k) AS text FROM numbered ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+}

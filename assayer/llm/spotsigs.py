@@ -3,8 +3,7 @@
 A signature is a chain: a common word (the anchor) and the two content words that follow it; frequent words in
 between are passed over. A text's fingerprint is the set of its chains, so what stands around the running text
 (menus, numbers, names) hardly counts. Two fingerprints are compared by Jaccard; sets whose sizes alone keep them
-below the wanted likeness aren't compared (a pair reaches at most smaller / larger), and the near-duplicate search
-deals sets by their size so that only sizes within that bound meet.
+below a wanted likeness count as unlike (a pair reaches at most smaller / larger).
 
 Defined cases: null counts as an empty text; an empty text has the empty fingerprint, and two empty ones have
 likeness 1; a text with words but no chain takes each word as a chain, one without words its whole text; equal texts
