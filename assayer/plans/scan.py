@@ -12,7 +12,7 @@ from assayer.functions import shapes
 from assayer.functions import text as T
 from assayer.operators.common import checkpointed
 from assayer.plans import fold as FO
-from assayer.plans import rubric, rules, sinks
+from assayer.plans import rubric, rules, rules_flow, sinks
 from assayer.sources import tables
 
 
@@ -25,7 +25,7 @@ def code_findings(parsed: DataFrame) -> DataFrame:
     size = parsed.where(~F.col("is_test")).select("path", F.lit(1).alias("line"), "loc")
     large = rules.judged(size, [("oversized-source-file", "loc > 800", "if(loc > 1500, 2, 1)", "concat(loc, ' lines of code')")])
     tests = methods.where(F.col("is_test") & F.col("attributes").rlike(r"\b(Fact|Theory|Test|TestMethod|TestCase)\b"))
-    parts = [rules.judged(methods.where(~F.col("is_test")), rules.METHOD_RULES), rules.judged(types.where(~F.col("is_test")), rules.TYPE_RULES), rules.judged(tests, rules.TEST_RULES), debt, large]
+    parts = [rules.judged(methods.where(~F.col("is_test")), rules.METHOD_RULES + rules_flow.FLOW_RULES), rules.judged(types.where(~F.col("is_test")), rules.TYPE_RULES + rules_flow.DESIGN_RULES), rules.judged(tests, rules.TEST_RULES), debt, large]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -37,6 +37,48 @@ def unused_members(parsed: DataFrame) -> DataFrame:
     return rules.judged(alone, [("unused-code", "attributes = ''", "1", "concat(name, ' is never used')")])
 
 
+def file_findings(sources: DataFrame) -> DataFrame:
+    """Findings on whole production files: each kind of file is judged in one projection, where it is read."""
+    texts = sources.where(~F.col("is_test") & ~F.col("is_binary")).withColumn("line", F.lit(1))
+    texts = texts.withColumn("bare", F.regexp_replace("text", r'"(?:[^"\\\n]|\\.)*"|//[^\n]*', ""))
+    found = [rules.judged(texts.where(F.col("path").rlike(kind)), judged) for kind, judged in rules_flow.FILE_RULES.items()]
+    # a stylesheet that moves needs a guard in some stylesheet
+    sheets = texts.where(F.col("path").rlike(r"\.s?css$"))
+    guarded = sheets.where(F.col("text").contains("prefers-reduced-motion")).select(F.lit(1).alias("one")).limit(1)
+    moving = sheets.where(F.col("text").rlike(r"@keyframes|\b(animation|transition)\s*:\s*(?!none)")).join(guarded, F.lit(True), "left_anti")
+    found.append(rules.judged(moving, [("motion-without-reduced-motion", "true", "1", "'moves whoever looks'")]))
+    return reduce(DataFrame.unionByName, found)
+
+
+def symbol_findings(parsed: DataFrame) -> DataFrame:
+    """Findings that join declarations with uses: obsolete members in use, commands with several handlers, events nobody handles, open controllers.
+
+    Uses are counted by name before they are joined; only declarations of interest meet them.
+    """
+    code = parsed.where(~F.col("is_test"))
+    methods, types = tables.exploded(parsed, "methods").where(~F.col("is_test")), tables.exploded(parsed, "types").where(~F.col("is_test"))
+    uses = code.select(F.explode("words").alias("name", "n")).groupBy("name").agg(F.sum("n").alias("n"))
+    declared = methods.groupBy("name").agg(F.count(F.lit(1)).alias("declared"))
+    old = methods.where(F.col("attributes").rlike(r"\bObsolete\b")).join(declared, "name").join(uses, "name").where("n > declared")
+    found = [rules.judged(old, [("obsolete-symbol-still-used", "true", "least(2, 0.5 + 0.5 * (n - declared))", "concat(name, ' is obsolete and in use')")])]
+
+    handled = types.select("path", "line", "end_line", "name", F.explode("bases").alias("base")).withColumn("message", F.regexp_extract("base", r"(?:Handler|Consumer|Handle\w*)<(\w+)", 1)).where("message <> ''")
+    commands = handled.where(F.col("message").rlike("Command$"))
+    several = commands.groupBy("message").agg(F.count_distinct("name").alias("n")).where("n > 1")
+    found.append(rules.judged(commands.join(several, "message"), [("command-with-multiple-handlers", "true", "1", "concat(message, ' has ', n, ' handlers')")]))
+
+    folded = methods.where(F.col("name").rlike("^(Apply|When|On|Handle|Consume)")).select(F.explode("params").alias("p")).select(F.regexp_extract("p", r"(\w+Event)\b", 1).alias("name"))
+    known = handled.select(F.col("message").alias("name")).union(folded).distinct()
+    raised = methods.select(F.explode(F.regexp_extract_all("body", F.lit(r"\bnew (\w+Event)\b"), 1)).alias("name")).distinct()
+    lost = types.where(F.col("name").rlike("Event$")).join(raised, "name", "left_semi").join(known, "name", "left_anti")
+    found.append(rules.judged(lost, [("domain-event-never-handled", "true", "1", "concat(name, ' is raised and never handled')")]))
+
+    fallback = code.where("map_contains_key(words, 'FallbackPolicy') or map_contains_key(words, 'RequireAuthorization')").select(F.lit(1).alias("one")).limit(1)
+    opened = types.where(F.col("name").rlike("Controller$") & ~F.concat("attributes", "body").rlike("Authorize|AllowAnonymous") & F.col("body").rlike(r"\[\s*Http(Get|Post|Put|Patch|Delete)"))
+    found.append(rules.judged(opened.join(fallback, F.lit(True), "left_anti"), [("missing-authorization", "true", "2", "concat(name, ' lets anyone in')")]))
+    return reduce(DataFrame.unionByName, found)
+
+
 def file_edges(parsed: DataFrame) -> DataFrame:
     """(src, dst): a file names a type that another file declares."""
     declared = tables.exploded(parsed, "types").select("name", F.col("path").alias("dst")).distinct()
@@ -161,7 +203,7 @@ def scan_sources(spark: SparkSession, sources: DataFrame, quality_bar: str | Non
     projects = checkpointed(tables.projects(sources))
     listed, checks = checklists(sources)
     checks = checkpointed(checks)
-    parts = [code_findings(parsed), unused_members(parsed), line_findings(sources), markup_findings(sources), rules.judged(tables.containers(sources), rules.CONTAINER_RULES), project_findings(projects), listed]
+    parts = [code_findings(parsed), unused_members(parsed), symbol_findings(parsed), file_findings(sources), line_findings(sources), markup_findings(sources), rules.judged(tables.containers(sources), rules.CONTAINER_RULES), project_findings(projects), listed]
     findings = checkpointed(reduce(DataFrame.unionByName, parts))
     count = lambda df, test, name: df.agg(F.coalesce(F.count_if(test), F.lit(0)).alias(name))
     loc = parsed.agg(F.coalesce(F.sum(F.when(~F.col("is_test"), F.col("loc"))), F.lit(0)).alias("loc"))
