@@ -21,9 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import smallest
 from assayer.llm.text import LOWER, blocks, column, raw
 
 DIM = 4096
@@ -144,8 +145,7 @@ def train(labels: list[str], c: np.ndarray, clusters: int = CLUSTERS) -> Model:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
     """Learns from the bounded sample of the labelled rows given."""
     ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id").distinct()
+    chosen = smallest(ids, "lang", per_language).select("id").distinct()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null").join(F.broadcast(chosen), "id")
 
     def run(batches):

@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import smallest
 from assayer.llm.text import blocks, column
 
 
@@ -77,8 +78,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text
     """
     each = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     totals = {r.label: r["count"] for r in each.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).drop("n")
+    chosen = smallest(each, "label", per_class)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     return rows, {k: min(1.0, per_class / n) for k, n in totals.items()}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,15 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 def fold(key: str, modulus: int):
     """crc32 of a key as text, modulo: the fixed folds of the labelled tables. A null key is in no fold."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))
+
+
+def smallest(rows: DataFrame, group: str, most: int, key: str = "id", deal: int = 64) -> DataFrame:
+    """The `most` rows of each group with the smallest hash of the key.
+
+    Ranked within `deal` parts of each group first, so that what a group's tasks leave is ranked at once only when it is at most deal * most rows.
+    """
+    order = (F.xxhash64(key), F.col(key))
+    part = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(deal))
+    for by in ((group, "__part"), (group,)):
+        rows = rows.withColumn("__part", part).withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= most).drop("__n", "__part")
+    return rows

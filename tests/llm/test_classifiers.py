@@ -103,3 +103,17 @@ def test_foreign_script_is_rejected(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     far = langid.fit(docs).predict(pa.array(["Привет мир как дела сегодня хорошо " * 8, "今天天气很好我们去公园玩吧" * 20]))
     assert far[3].all()
+
+
+def test_smallest_takes_what_one_ranking_would(spark):
+    from assayer.llm.shared import smallest
+
+    rows = [(i % 5000, "ab"[i % 7 == 0]) for i in range(6000)]
+    hashed = {r.id: r.h for r in spark.range(5000).selectExpr("id", "xxhash64(id) as h").collect()}
+    for most, deal in ((7, 64), (300, 4), (9000, 8)):
+        got = sorted((r.g, r.id) for r in smallest(spark.createDataFrame(rows, "id bigint, g string"), "g", most, deal=deal).collect())
+        want = []
+        for g in "ab":
+            want += [(g, i) for i in sorted((i for i, k in rows if k == g), key=lambda i: (hashed[i], i))[:most]]
+        assert got == sorted(want)
+    assert smallest(spark.createDataFrame([], "id bigint, g string"), "g", 3).count() == 0
