@@ -83,6 +83,12 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text
     return rows, {k: min(1.0, per_class / n) for k, n in totals.items()}
 
 
+def weights(labels: list[int], share: dict[int, float], mean: float = 1.0) -> np.ndarray:
+    """The weight of each sampled row: in proportion to the rows of its class that it stands for, and `mean` on average."""
+    w = np.array([1 / share[x] for x in labels])
+    return w * mean / w.mean() if len(w) else w
+
+
 def features_of(rows: DataFrame, features) -> list:
     """Collects (id, label, features) of the bounded sample, by id; `features` maps texts to one bytes object each."""
 

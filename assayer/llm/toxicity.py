@@ -6,7 +6,8 @@ identity group, its terms are swapped for another term of the same kind, and tra
 between both scores; a mention alone then carries no weight, which spares neutral texts about groups.
 
 Fitting reads a bounded sample of labelled rows, `per_class` of each class (default 3000), weighted back to the shares
-of the classes. Scoring reads every whole text.
+of the classes; the weights are 1 on average, so prior and regularisation don't depend on the number of labelled rows.
+Scoring reads every whole text.
 
 Defined cases: null and empty texts get the bias as their score; equal texts get equal scores; without labelled rows
 every score is 0.5; empty tables give empty results.
@@ -110,11 +111,11 @@ def score(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
 
 def examples(rows: list, share: dict[int, float]) -> list[linear.Example]:
     out = []
-    for r in rows:
+    for r, weight in zip(rows, linear.weights([r.label for r in rows], share), strict=True):
         x = np.frombuffer(r.x, np.int32)
         n = int(x[0])
         a, b = x[1 : n + 1].astype(np.int64), x[n + 1 :].astype(np.int64)
-        out.append(linear.Example(a, np.ones(n), int(r.label > 0), min(20.0, 1 / share[r.label]), (b, np.ones(len(b))) if len(b) else None))
+        out.append(linear.Example(a, np.ones(n), int(r.label > 0), weight, (b, np.ones(len(b))) if len(b) else None))
     return out
 
 

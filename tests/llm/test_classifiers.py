@@ -117,3 +117,20 @@ def test_smallest_takes_what_one_ranking_would(spark):
             want += [(g, i) for i in sorted((i for i, k in rows if k == g), key=lambda i: (hashed[i], i))[:most]]
         assert got == sorted(want)
     assert smallest(spark.createDataFrame([], "id bigint, g string"), "g", 3).count() == 0
+
+
+def toxic_rows(n):
+    """Texts of which one in ten is toxic by a word that also stands in some clean ones, sampled to as many of each class."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join([*rng.choice([f"w{i}" for i in range(60)], 8), *["idiot"] * (k % 2 or rng.random() < 0.2)]) for k in range(2 * n)]
+    return [SimpleNamespace(x=x, label=k % 2) for k, x in enumerate(toxicity.features(pa.array(texts)))]
+
+
+def test_toxicity_model_is_the_same_with_100_times_the_labels():
+    rows = toxic_rows(300)
+    few, many = (toxicity.train(rows, {0: 300 / (2700 * k), 1: 300 / (300 * k)}) for k in (1, 100))
+    assert np.array_equal(few[0], many[0]) and few[1] == pytest.approx(many[1])
+    w = np.array([e.weight for e in toxicity.examples(rows, {0: 1 / 900, 1: 1 / 100})])
+    y = np.array([r.label for r in rows])
+    assert w.mean() == pytest.approx(1) and w[y == 1].sum() / w.sum() == pytest.approx(0.1)
+    assert toxicity.examples([], {}) == []
