@@ -5,7 +5,8 @@ case, and pairs and triples of word shapes (capitals, capitalised, lower, digits
 itself), all hashed into one space; a text is its n-gram counts divided by their number.
 
 Fitting reads a bounded sample of labelled rows, `per_class` of each class (default 2000), weighted back to the
-shares of the classes. Scoring reads every whole text.
+shares of the classes; the weights are 10 on average, so prior and regularisation don't depend on the number of
+labelled rows. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no n-grams and get the bias as their score; equal texts get equal scores;
 without labelled rows every score is 0.5; empty tables give empty results.
@@ -24,6 +25,7 @@ DIM = 1 << 18
 PER_CLASS = 2000
 THRESHOLD = 0.3
 SCALE = 8.0
+MEAN_WEIGHT = 10.0
 _BASE = 0xC2B2AE3D27D4EB4F
 _KIND = np.where(SPACES, 0, np.where(NON_WORD, 2, 1)).astype(np.uint8)
 _UPPER = np.zeros(256, bool)
@@ -78,13 +80,21 @@ def score(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
     return linear.sigmoid(model[1] + SCALE * total / np.maximum(np.bincount(d, minlength=n), 1))
 
 
+def examples(rows: list, share: dict[int, float]) -> list[linear.Example]:
+    out = []
+    for r, weight in zip(rows, linear.weights([r.label for r in rows], share, MEAN_WEIGHT), strict=True):
+        x = np.frombuffer(r.x, np.int32).reshape(2, -1)
+        out.append(linear.Example(x[0].astype(np.int64), SCALE * x[1] / max(1, x[1].sum()), int(r.label > 0), weight))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS, epochs: int = 5) -> tuple[np.ndarray, float]:
     rows, share = linear.sampled(docs, labels, label, per_class, text, doc_id)
-    examples = []
-    for r in linear.features_of(rows, features):
-        x = np.frombuffer(r.x, np.int32).reshape(2, -1)
-        examples.append(linear.Example(x[0].astype(np.int64), SCALE * x[1] / max(1, x[1].sum()), int(r.label > 0), min(20.0, 1 / share[r.label])))
-    return linear.train(examples, DIM, epochs, alpha=0.5, l1=0.002, l2=0.01)
+    return train(linear.features_of(rows, features), share, epochs)
+
+
+def train(rows: list, share: dict[int, float], epochs: int = 5) -> tuple[np.ndarray, float]:
+    return linear.train(examples(rows, share), DIM, epochs, alpha=0.5, l1=0.002, l2=0.01)
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

@@ -134,3 +134,18 @@ def test_toxicity_model_is_the_same_with_100_times_the_labels():
     y = np.array([r.label for r in rows])
     assert w.mean() == pytest.approx(1) and w[y == 1].sum() / w.sum() == pytest.approx(0.1)
     assert toxicity.examples([], {}) == []
+
+
+def test_quality_model_is_the_same_with_100_times_the_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 13} {'good' if i % 2 else 'bad'} w{i % 7}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    sampled = linear.sampled
+    models, priors = [], []
+    for times in (1, 100):
+        shares = {0: 1 / (2 * times), 1: 1 / (12 * times)}
+        monkeypatch.setattr(linear, "sampled", lambda *a, shares=shares: (sampled(*a)[0], shares))
+        monkeypatch.setattr(linear, "train", lambda e, *a, train=linear.train, **b: (priors.append(sum(x.weight for x in e if x.label) / sum(x.weight for x in e)), train(e, *a, **b))[1])
+        models.append(quality.fit(docs, labels))
+        monkeypatch.undo()
+    assert priors == pytest.approx([12 / 14, 12 / 14])
+    assert np.allclose(models[0][0], models[1][0]) and models[0][1] == pytest.approx(models[1][1])
