@@ -4,7 +4,10 @@ A text is a vector of hashed byte bigrams and trigrams of its lower-cased letter
 scaled to length one. Each language has several centroids, found by spherical k-means over its labelled
 texts; centroids whose members mostly carry another label are dropped, so mislabelled texts can't pull a
 language over. A text takes the language of the centroid with the largest cosine and is rejected if its
-distance is larger than that of the labelled texts of about its length, plus a margin.
+distance is larger than that of the labelled texts of about its length, plus a margin. Where fewer than 20 labelled
+texts are of about its length, the limit comes from the lengths that have as many: for a shorter text the nearest
+one's least cosine scaled by the root of the lengths' ratio, as cosines of texts of few n-grams are, and else the most
+lenient limit of all. Without any such length nothing is rejected for its distance.
 
 Fitting reads a bounded sample of labelled rows: the `per_language` rows of each language with the smallest
 hash of their id (default 300). Prediction reads every whole text.
@@ -135,10 +138,15 @@ def train(labels: list[str], c: np.ndarray, clusters: int = CLUSTERS) -> Model:
     model.centroids, model.owner = centres[pure].astype(np.float32), owner[pure]
     most = (x @ model.centroids.T).max(axis=1)
     size = np.log2(c.sum(axis=1) + 1).astype(int)
+    filled = []
     for s in range(len(model.floor)):
         seen = most[np.abs(size - s) <= 1]
         if len(seen) >= _LEAST_SEEN:
             model.floor[s] = seen.min() - _MARGIN
+            filled.append(s)
+    for s in range(len(model.floor)):
+        if filled and s not in filled:
+            model.floor[s] = model.floor[filled[0]] * 2.0 ** ((s - filled[0]) / 2) if s < filled[0] else model.floor[filled].min()
     return model
 
 

@@ -149,3 +149,16 @@ def test_quality_model_is_the_same_with_100_times_the_labels(spark, monkeypatch)
         monkeypatch.undo()
     assert priors == pytest.approx([12 / 14, 12 / 14])
     assert np.allclose(models[0][0], models[1][0]) and models[0][1] == pytest.approx(models[1][1])
+
+
+def test_foreign_text_is_rejected_at_every_length(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").dropna(subset=["text", "lang"]).orderBy("doc_id").toPandas()
+    known, other = docs[docs.doc_id % 2 == 0], docs[docs.doc_id % 2 == 1]
+    model = langid.train(known.lang.tolist(), langid.counts(pa.array(known.text.tolist())))
+    foreign = ["Привет мир", "今天天气很", "Привет мир как дела сегодня хорошо " * 1700, "今天天气很好我们去公园玩吧" * 2600, "zxqvjk wqxzzq kqj " * 6000]
+    assert [len(t.encode()) > 100_000 for t in foreign] == [False, False, True, True, True] and len(foreign[0].encode()) == 19
+    assert model.predict(pa.array(foreign))[3].all()
+    # texts of the learnt languages stay, cut short or joined to a long one
+    other = other[other.n_chars.between(500, 3000)]
+    short, long = [t[:n] for t in other.text for n in (20, 40)], [("\n".join(x) * 9)[:120_000] for _, x in other.groupby("lang").text]
+    assert model.predict(pa.array(short))[3].mean() < 0.1 and not model.predict(pa.array(long))[3].any()
