@@ -33,7 +33,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: For RE2, which tells quickly in which texts the patterns above can match at all.
 _MAY_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 _MAY_ACCESS, _MAY_HEX = "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}"
-_MAY_LEX = r"""[A-Za-z0-9_]["']?\x20*[:=][=>]?\x20*["'`A-Za-z0-9]"""
+#: Wider than the lexer: all that its names end in, before any = or :.
+_MAY_LEX = r"""[A-Za-z0-9_.\-]["'\])]{0,3}\s*[:=]"""
 
 _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\])]?\x20*$""")
 _VALUE = re.compile(r"""[=>]?\x20*(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""")

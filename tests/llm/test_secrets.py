@@ -1,4 +1,5 @@
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,12 @@ def test_redaction_and_empty_table(spark, make):
     assert out[1].text == 'a [REDACTED]" b' and out[1].n_chars == len(out[1].text)
     assert out[2].text == "clean" and out[3].text is None and out[2].secrets == "x"
     assert secrets.scan(docs.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['cfg[api_token] = "Zx81kQ0pLm22"', "db_pwd = $ecr3t-Value9", "db_pwd = /Zx81kQ0pLm22/ab", "set(auth_key) = 'Zx81kQ0pLm22'", "signing-key.=~Zx81kQ0pLm22", "auth_key\n= 'Zx81kQ0pLm22'"],
+)
+def test_a_single_assignment_passes_the_prefilter(text):
+    assert secrets.literal_spans(text)
+    assert [x for x in secrets.spans_of(pa.array([text]))[0] if x[1] == 3] == sorted(secrets.literal_spans(text))
