@@ -1,7 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 Base kinds are plain patterns (assign, access, hex). On top of them the lexer reads source and
-configuration syntax as name-literal pairs (`name = "x"`, `"name": "x"`, `name: x`, `name := 'x'`),
+configuration syntax as name-literal pairs (`name = "x"`, `"name": "x"`, `name: x`, `name := 'x'`,
+`a["name"] = "x"`, `name: Type = "x"`, with spaces or tabs around the sign),
 carries constants through later assignments (`k = "x"` ... `api_secret = k`) and scores each literal
 by the name it ends up under; those that score enough are reported as kind `literal`.
 
@@ -34,11 +35,15 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _MAY_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 _MAY_ACCESS, _MAY_HEX = "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}"
 #: Wider than the lexer: all that its names end in, before any = or :.
-_MAY_LEX = r"""[A-Za-z0-9_.\-]["'\])]{0,3}\s*[:=]"""
+_MAY_LEX = r"""[A-Za-z0-9_.\-]["'?!\])]{0,3}\s*[:=]"""
 
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\])]?\x20*$""")
-_VALUE = re.compile(r"""[=>]?\x20*(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""")
+_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["']?[\])]?[\x20\t]*$""")
+_TYPE = r"""(?:&(?:'\w+\x20)?)?[A-Za-z_][A-Za-z0-9_.]*(?:[<\[][^=\n]{0,40}[>\]]|\[\])?\??"""
+#: A name before its type: `name: Type`.
+_TYPED = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.\-]*)["'?!]?[\])]?[\x20\t]*:[\x20\t]*{_TYPE}(?:[\x20\t]*\|[\x20\t]*{_TYPE}){{0,3}}[\x20\t]*$""")
+_VALUE = re.compile(r"""[=>]?[\x20\t]*(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""")
 _NAME_CHARS = 64
+_TYPED_CHARS = 160
 #: Weight of a name by what it holds.
 _NAME_WEIGHTS = (
     (re.compile(r"passw(or)?d|passphrase|(^|[_.\-])pwd|pwd$", re.I), 3),
@@ -82,19 +87,25 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool
 
 
 def assignments(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of what reads as an assignment, in order."""
+    """(name, value, start, end, quoted) of what reads as an assignment, in order; of `a: b = "x"` both a and b name the value."""
     at, done = 0, -1
     eq, colon = text.find("="), text.find(":")
     while eq >= 0 or colon >= 0:
         at = min(x for x in (eq, colon) if x >= 0)
         eq, colon = (text.find("=", at + 1), colon) if at == eq else (eq, text.find(":", at + 1))
-        if at <= done or not (name := _NAME.search(text, max(0, at - _NAME_CHARS - 4), at)):
+        if at <= done:
+            continue
+        names = [_NAME.search(text, max(0, at - _NAME_CHARS - 4), at)]
+        if text[at] == "=" and text.rfind(":", max(0, at - _TYPED_CHARS), at) >= 0:
+            names.append(_TYPED.search(text, max(0, at - _TYPED_CHARS), at))
+        if not any(names):
             continue
         if not (value := _VALUE.match(text, at + 1)):
             continue
         group = "lit" if value["q"] else "bare"
         done = value.end() - 1 if value["q"] else at
-        yield name[1], value[group], value.start(group), value.end(group), bool(value["q"])
+        for name in filter(None, names):
+            yield name[1], value[group], value.start(group), value.end(group), bool(value["q"])
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:

@@ -60,3 +60,18 @@ def test_redaction_and_empty_table(spark, make):
 def test_a_single_assignment_passes_the_prefilter(text):
     assert secrets.literal_spans(text)
     assert [x for x in secrets.spans_of(pa.array([text]))[0] if x[1] == 3] == sorted(secrets.literal_spans(text))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['config["password"] = "%s"', "env['DB_PWD']='%s'", 'api_key: str = "%s"', 'let dbPwd: string = "%s"', 'api_key: Optional[str] = "%s"', 'authKey?: string | null = "%s"',
+     'const API_KEY: &\'static str = "%s";', 'keys.api_key: Array<string> = "%s"', 'db_pwd\t=\t"%s"', 'db_pwd:\t%s', 'x: db_pwd = "%s"'],
+)
+def test_subscripts_types_and_tabs(text):
+    text %= "Zx81kQ0pLm22"
+    found = [x for x in secrets.spans_of(pa.array([text]))[0] if x[1] == 3]
+    assert [text[s:e] for s, _, e in found] == ["Zx81kQ0pLm22"] and found == sorted(secrets.literal_spans(text))
+
+
+def test_a_type_names_no_secret():
+    assert secrets.literal_spans('title: str = "Zx81kQ0pLm22"\nthe api_key: please set name = "Zx81kQ0pLm22"') == []
