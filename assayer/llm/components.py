@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayer.llm.shared import checkpointed
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the component's smallest node.
 
     Each round takes the smallest label of a node's neighbours and then the label of its label, so chains
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x <> y").distinct()
     both = checkpointed(both)
     labels = checkpointed(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("m"))
         step = labels.join(near, "node").select("node", "root", F.least("root", "m").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("root").alias("beyond"))
@@ -27,4 +27,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         labels = after.select("node", "root")
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

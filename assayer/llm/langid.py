@@ -9,12 +9,13 @@ texts are of about its length, the limit comes from the lengths that have as man
 one's least cosine scaled by the root of the lengths' ratio, as cosines of texts of few n-grams are, and else the most
 lenient limit of all. Without any such length nothing is rejected for its distance.
 
-Fitting reads a bounded sample of labelled rows: the `per_language` rows of each language with the smallest
-hash of their id (default 300). Prediction reads every whole text.
+Fitting reads a bounded sample of labelled rows: the `per_language` ids of each language with the smallest
+hash (default 300), one row each. Prediction reads every whole text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and is rejected; empty tables
 predict nothing, and fitting without labelled rows gives a model that calls every text `und`; equal texts get
-equal predictions; null labels aren't learnt from.
+equal predictions; null labels, and rows without an id, aren't learnt from; of rows that share an id and a language one is learnt;
+columns to keep that are called like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.shared import smallest
+from assayer.llm.shared import one_text, smallest, spare, typed, without
 from assayer.llm.text import LOWER, blocks, column, raw
 
 DIM = 4096
@@ -152,34 +153,39 @@ def train(labels: list[str], c: np.ndarray, clusters: int = CLUSTERS) -> Model:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
     """Learns from the bounded sample of the labelled rows given."""
-    ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    chosen = smallest(ids, "lang", per_language).select("id").distinct()
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null").join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
+    chosen, _ = smallest(rows, "lang", per_language)
+    rows = one_text(rows, chosen, "id", "lang")
 
     def run(batches):
         for batch in batches:
             for a, b in blocks(column(batch, "text")):
                 part = batch.slice(a, b - a)
-                c = np.minimum(counts(column(part, "text")), 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([column(part, "id").cast(pa.string()), column(part, "lang"), pa.array([x.tobytes() for x in c], pa.binary())], names=["id", "lang", "counts"])
+                c = [np.stack([at := np.flatnonzero(x), x[at]]).astype(np.uint32).tobytes() for x in counts(column(part, "text"))]
+                yield pa.RecordBatch.from_arrays([column(part, "id").cast(pa.string()), column(part, "lang"), pa.array(c, pa.binary())], names=["id", "lang", "counts"])
 
     got = sorted(rows.mapInArrow(run, "id string, lang string, counts binary").collect())
-    c = np.array([np.frombuffer(r.counts, np.uint16) for r in got], np.int64).reshape(-1, DIM)
+    c = np.zeros((len(got), DIM), np.uint32)
+    for row, r in zip(c, got, strict=True):
+        at, n = np.frombuffer(r.counts, np.uint32).reshape(2, -1)
+        row[at] = n
     return train([r.lang for r in got], c, clusters)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns, lang_pred, score, distance and rejected of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    outs = ["lang_pred", "score", "distance", "rejected"]
+    keep = without(keep, *outs)
+    own = spare(keep, "text")
+    chosen = docs.select(*keep, F.col(text).alias(own))
 
     def run(batches):
         for b in batches:
-            lang, score, dist, rejected = held.value.predict(column(b, "__text"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(dist), pa.array(rejected)], names=[*keep, "lang_pred", "score", "distance", "rejected"])
+            lang, score, dist, rejected = held.value.predict(column(b, own))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(dist), pa.array(rejected)], names=[*keep, *outs])
 
-    kept = [f"`{n}` {t}" for n, t in docs.select(*keep).dtypes]
-    return chosen.mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, distance double, rejected boolean"]))
+    return chosen.mapInArrow(run, typed(docs, keep, "lang_pred string", "score double", "distance double", "rejected boolean"))
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -9,8 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.shared import smallest
-from assayer.llm.text import blocks, column
+from assayer.llm.shared import one_text, smallest, spare, typed, without
+from assayer.llm.text import U64, blocks, column, mix
+
+#: Distinct n-grams that one learnt row is held to at most, so that the sample's size in memory doesn't depend on its longest texts. Scores read all.
+MOST_FEATURES = 8192
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 @dataclass
@@ -42,20 +49,22 @@ class Ftrl:
         self.n[i] = n + g * g
 
     def learn(self, e: Example, pull: float = 0.0) -> None:
-        """One example; `pull` weighs the squared difference between its score and that of its swapped form."""
+        """One example; `pull` weighs the squared difference between its score and that of its swapped form.
+
+        Both parts of the loss make one step: coordinates that both forms share get the gradient of the label alone.
+        """
         i, x = np.append(e.index, self.dim), np.append(e.value, 1.0)
-        w = self.weights(i)
-        s = float(w @ x)
-        g = (1 / (1 + np.exp(-np.clip(s, -40, 40))) - e.label) * x * e.weight
-        if pull and e.swapped is not None:
-            j, y = np.append(e.swapped[0], self.dim), np.append(e.swapped[1], 1.0)
-            v = self.weights(j)
-            apart = pull * e.weight * (s - float(v @ y))
-            g = g + apart * x
-            self.step(i, g, w)
-            self.step(j, -apart * y, self.weights(j))
-        else:
-            self.step(i, g, w)
+        if not pull or e.swapped is None:
+            w = self.weights(i)
+            self.step(i, (sigmoid(w @ x) - e.label) * x * e.weight, w)
+            return
+        j, y = np.append(e.swapped[0], self.dim), np.append(e.swapped[1], 1.0)
+        both, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        own, other = np.zeros(len(both)), np.zeros(len(both))
+        own[at[: len(i)]], other[at[len(i) :]] = x, y
+        w = self.weights(both)
+        s = w @ own
+        self.step(both, e.weight * ((sigmoid(s) - e.label) * own + pull * (s - w @ other) * (own - other)), w)
 
     def model(self) -> tuple[np.ndarray, float]:
         w = self.weights(np.arange(self.dim + 1))
@@ -74,13 +83,12 @@ def train(examples: list[Example], dim: int, epochs: int, pull: float = 0.0, **a
 def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
     """(id, label, text) of a bounded sample: of each class the `per_class` labelled ids with the smallest hash; and the share of each class that it holds.
 
-    Null ids and labels are left out; an id that is labelled repeatedly counts once, by its largest label.
+    Null ids and labels are left out; an id that is labelled repeatedly counts once, by its largest label; of documents that share an id one is learnt.
     """
     each = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
-    totals = {r.label: r["count"] for r in each.groupBy("label").count().collect()}
-    chosen = smallest(each, "label", per_class)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    return rows, {k: min(1.0, per_class / n) for k, n in totals.items()}
+    chosen, totals = smallest(each, "label", per_class)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return one_text(rows, chosen, "id", "label"), {k: min(1.0, per_class / n) for k, n in totals.items()}
 
 
 def weights(labels: list[int], share: dict[int, float], mean: float = 1.0) -> np.ndarray:
@@ -89,6 +97,14 @@ def weights(labels: list[int], share: dict[int, float], mean: float = 1.0) -> np
     return w * mean / w.mean() if len(w) else w
 
 
+def few(index: np.ndarray, most: int = MOST_FEATURES) -> np.ndarray:
+    """Which hashed n-grams of a row are learnt: all, or the `most` with the smallest hash of the hash."""
+    if len(index) <= most:
+        return np.ones(len(index), bool)
+    h = mix(index.astype(U64) + U64(1))
+    return h <= np.partition(h, most - 1)[most - 1]
+
+
 def features_of(rows: DataFrame, features) -> list:
     """Collects (id, label, features) of the bounded sample, by id; `features` maps texts to one bytes object each."""
 
@@ -102,19 +118,19 @@ def features_of(rows: DataFrame, features) -> list:
 
 
 def scored(docs: DataFrame, score, held, text: str, keep: tuple[str, ...], threshold: float) -> DataFrame:
-    """The `keep` columns, score and predicted of every row; `score` maps a block of texts and the broadcast model to scores."""
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    """The `keep` columns, score and predicted of every row; `score` maps a block of texts and the broadcast model to scores.
+
+    Columns to keep that are called score or predicted are replaced.
+    """
+    keep = without(keep, "score", "predicted")
+    own = spare(keep, "text")
+    chosen = docs.select(*keep, F.col(text).alias(own))
 
     def run(batches):
         for batch in batches:
-            texts = column(batch, "__text")
+            texts = column(batch, own)
             parts = [score(texts[a:b], held.value) for a, b in blocks(texts)]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    kept = [f"`{n}` {t}" for n, t in docs.select(*keep).dtypes]
-    return chosen.mapInArrow(run, ", ".join([*kept, "score double, predicted int"]))
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return chosen.mapInArrow(run, typed(docs, keep, "score double", "predicted int"))

@@ -6,10 +6,11 @@ itself), all hashed into one space; a text is its n-gram counts divided by their
 
 Fitting reads a bounded sample of labelled rows, `per_class` of each class (default 2000), weighted back to the
 shares of the classes; the weights are 10 on average, so prior and regularisation don't depend on the number of
-labelled rows. Scoring reads every whole text.
+labelled rows. Of a learnt row at most `linear.MOST_FEATURES` distinct n-grams are used, picked by hash. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no n-grams and get the bias as their score; equal texts get equal scores;
-without labelled rows every score is 0.5; empty tables give empty results.
+without labelled rows every score is 0.5; empty tables give empty results; labels without an id or a value aren't learnt, an id that is
+labelled repeatedly counts once, and of documents that share an id one is learnt; columns to keep called score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -71,7 +72,11 @@ def features(texts: pa.Array) -> list[bytes]:
     d, i, n = ids(texts)
     key, c = np.unique(d * DIM + i, return_counts=True)
     at = np.searchsorted(key, np.arange(n + 1) * DIM)
-    return [np.concatenate([key[a:b] % DIM, c[a:b]]).astype(np.int32).tobytes() for a, b in zip(at, at[1:], strict=False)]
+    out = []
+    for a, b in zip(at, at[1:], strict=False):
+        few = linear.few(index := key[a:b] % DIM)
+        out.append(np.concatenate([index[few], c[a:b][few]]).astype(np.int32).tobytes())
+    return out
 
 
 def score(texts: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:

@@ -10,9 +10,13 @@ edges are therefore relaxed in the order of their merge ranks (the best edge bet
 leftmost of equals), which a path of summed scores would not reproduce. Only BPE models with an identity normaliser are
 taken; others are refused when the model is read.
 
+A worker keeps the ids of segments it has met (at most 200,000, then it starts anew), so a block indexes only what is new to the worker; on a corpus
+that never repeats a word every segment is indexed.
+
 Defined cases: null counts as empty, an empty text has no ids and decodes to an empty text; characters without
 a piece become byte pieces, or the unknown piece where the model has none; ids outside the vocabulary are refused;
-equal texts get equal ids; an empty table gives an empty result. The model is read by the driver from a path given as
+equal texts get equal ids; NUL characters are characters like others; an empty table gives an empty result; columns called like a result are
+replaced by it. The model is read by the driver from a path given as
 a parameter and sent to the tasks (its size is that of the vocabulary).
 """
 
@@ -28,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import spare, typed, without
 from assayer.llm.text import U64, blocks, column, prefix_sums, raw, spans_hash
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,6 +42,8 @@ _BASES = (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
 _LONG = 64
 _BLOCK = 1 << 20
 _NONE = np.int64(1 << 62)
+#: Stands for the NUL character in index texts, in which 0 stands between segments.
+_NUL = 0x110000
 
 
 def _fields(data: bytes):
@@ -109,16 +116,15 @@ class Model:
         if any(SPACE in p.lstrip(SPACE) for p in by_text):
             raise ValueError("pieces must not reach across spaces")
         t["longest"] = max((len(self.pieces[i]) for i in usable), default=1)
-        if t["longest"] > 16:
-            raise ValueError("pieces may have 16 characters at most")
+        wide = t["longest"]
         t["id"] = np.array(usable, np.int64)
         t["length"] = np.array([len(self.pieces[i]) for i in usable], np.int64)
-        t["chars"] = np.zeros((len(usable), 16), np.uint32)
+        t["chars"] = np.zeros((len(usable), wide), np.uint32)
         for row, i in enumerate(usable):
-            t["chars"][row, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
+            t["chars"][row, : len(self.pieces[i])] = [ord(c) or _NUL for c in self.pieces[i]]
         t["alphabet"], t["char_index"] = np.unique(t["chars"], return_inverse=True)
         t["char_index"] = t["char_index"].reshape(t["chars"].shape)
-        t["inside"] = np.arange(16) < t["length"][:, None]
+        t["inside"] = np.arange(wide) < t["length"][:, None]
         order = sorted(set(self.scores), reverse=True)
         place = {s: k for k, s in enumerate(order)}
         t["rank"] = np.array([place[s] for s in self.scores], np.int64)
@@ -157,17 +163,18 @@ class Index:
     def __init__(self, model: Model, chars: np.ndarray):
         """chars: code points; 0 stands between segments."""
         t = model.tables
+        wide = self.wide = t["longest"]
         alphabet, code = np.unique(chars, return_inverse=True)
         n, shift0 = len(chars), int(alphabet[0] != 0)
         # as many characters as fit go into one key, so that one key orders most suffixes
         bits = max(1, (len(alphabet) + shift0).bit_length())
-        per = min(16, 64 // bits)
-        code = np.concatenate([code.astype(U64) + U64(shift0), np.zeros(32, U64)])
+        per = min(wide, 64 // bits)
+        code = np.concatenate([code.astype(U64) + U64(shift0), np.zeros(2 * wide, U64)])
         shifts = (U64(bits) * np.arange(per - 1, -1, -1).astype(U64)).astype(U64)
-        word = np.zeros(n + 16, U64)
+        word = np.zeros(n + wide, U64)
         for j in range(per):
-            word |= code[j : j + n + 16] << shifts[j]
-        n_keys = -(-16 // per)
+            word |= code[j : j + n + wide] << shifts[j]
+        n_keys = -(-wide // per)
         keys = [word[per * k : per * k + n] for k in range(n_keys)]
         self.suffixes = _sorted_suffixes(keys)
         keys = [k[self.suffixes] for k in keys]
@@ -180,8 +187,8 @@ class Index:
 
         def pack(fill: int) -> np.ndarray:
             c = np.zeros((len(ids), n_keys * per), U64)
-            c[:, :16] = np.where(inside, own, U64(fill))
-            c[:, 16:] = U64(fill)
+            c[:, :wide] = np.where(inside, own, U64(fill))
+            c[:, wide:] = U64(fill)
             return np.bitwise_or.reduce(c.reshape(len(ids), n_keys, per) << shifts, axis=2)
 
         low, high = self._search(keys, pack(0), False), self._search(keys, pack((1 << bits) - 1), True)
@@ -189,8 +196,8 @@ class Index:
         count = high - low
         piece = np.repeat(np.arange(len(ids)), count)
         place = self.suffixes[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[piece]]
-        self.edges = np.full(n * 16, -1, np.int32)
-        self.edges[place * 16 + length[piece] - 1] = ids[piece]
+        self.edges = np.full(n * wide, -1, np.int32)
+        self.edges[place * wide + length[piece] - 1] = ids[piece]
 
     @staticmethod
     def _search(keys: list[np.ndarray], want: np.ndarray, after: bool) -> np.ndarray:
@@ -211,22 +218,22 @@ class Index:
 
 def relax(model: Model, index: Index, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, place, length) of each segment's symbols after merging along the edges, all segments at once."""
-    rank = model.tables["rank"]
+    rank, wide = model.tables["rank"], index.wide
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     sizes = ends - starts
     for s in np.flatnonzero(sizes > _LONG):
-        done.append(_relax_long(rank, index.edges, int(s), int(starts[s]), int(ends[s])))
+        done.append(_relax_long(rank, index.edges, wide, int(s), int(starts[s]), int(ends[s])))
     short = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
     n = sizes[short]
     seg = np.repeat(short, n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[short], n)
     size = np.ones(len(at), np.int64)
     while len(at):
-        both = np.append(size[:-1] + size[1:], 99)
-        paired = np.append(seg[:-1] == seg[1:], False) & (both <= 16)
+        both = np.append(size[:-1] + size[1:], wide + 1)
+        paired = np.append(seg[:-1] == seg[1:], False) & (both <= wide)
         key = np.full(len(at), _NONE)
         p = np.flatnonzero(paired)
-        e = index.edges[at[p] * 16 + both[p] - 1]
+        e = index.edges[at[p] * wide + both[p] - 1]
         ok = e >= 0
         key[p[ok]] = (rank[e[ok]] << 32) | p[ok]
         first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
@@ -248,7 +255,7 @@ def relax(model: Model, index: Index, starts: np.ndarray, ends: np.ndarray) -> t
     return seg[order], at[order], size[order]
 
 
-def _relax_long(rank: np.ndarray, edges: np.ndarray, seg: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _relax_long(rank: np.ndarray, edges: np.ndarray, wide: int, seg: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for one long segment, by a heap over its edges."""
     n = end - start
     size, right, left = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
@@ -256,7 +263,7 @@ def _relax_long(rank: np.ndarray, edges: np.ndarray, seg: int, start: int, end:
 
     def offer(i: int) -> None:
         j = right[i]
-        if j < n and (both := size[i] + size[j]) <= 16 and (e := edges[(start + i) * 16 + both - 1]) >= 0:
+        if j < n and (both := size[i] + size[j]) <= wide and (e := edges[(start + i) * wide + both - 1]) >= 0:
             heapq.heappush(heap, (int(rank[e]), i, both))
 
     for i in range(n):
@@ -361,23 +368,25 @@ def _encode_parts(model: Model, parts: list[bytes]) -> tuple[np.ndarray, np.ndar
     if not parts:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     joined = b"\0".join(parts)
-    if joined.count(b"\0") >= len(parts):  # a text with NUL characters: no separator is safe, so segments are indexed one by one
-        return _encode_alone(model, parts)
-    text = joined.decode().replace(" ", SPACE)
-    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    chars = np.frombuffer(joined.decode().replace(" ", SPACE).encode("utf-32-le"), np.uint32)
+    if joined.count(b"\0") >= len(parts):  # some NULs are characters: separators are told from them by where the parts end
+        chars = np.where(chars == 0, np.uint32(_NUL), chars)
+        raw_bytes = np.frombuffer(joined, np.uint8)
+        nth = np.cumsum((raw_bytes & 0xC0) != 0x80)
+        chars[nth[np.cumsum([len(p) + 1 for p in parts[:-1]], dtype=np.int64) - 1] - 1] = 0
     breaks = np.flatnonzero(chars == 0)
     begin, end = np.concatenate([[0], breaks + 1]), np.append(breaks, len(chars))
     index = Index(model, chars)
     seg, at, size = relax(model, index, begin, end)
-    ids, seg = _with_fallback(model, index.edges[at * 16 + size - 1], seg, at, text)
+    ids, seg = _with_fallback(model, index.edges[at * index.wide + size - 1], seg, at, chars)
     return ids, np.bincount(seg, minlength=len(parts))
 
 
-def _with_fallback(model: Model, ids: np.ndarray, seg: np.ndarray, at: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+def _with_fallback(model: Model, ids: np.ndarray, seg: np.ndarray, at: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     missing = np.flatnonzero(ids < 0)
     if not len(missing):
         return ids, seg
-    spelled = [model.fallback(text[k]) for k in at[missing].tolist()]
+    spelled = [model.fallback(chr(c) if c != _NUL else "\0") for c in chars[at[missing]].tolist()]
     times = np.ones(len(ids), np.int64)
     times[missing] = [len(x) for x in spelled]
     flat = np.repeat(ids, times)
@@ -393,20 +402,6 @@ def _spread(ids: np.ndarray, start: np.ndarray, counts: np.ndarray, inverse: np.
     return flat.astype(np.int32, copy=False), np.concatenate([[0], total])[first]
 
 
-def _encode_alone(model: Model, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Segments that can't share an index text: each gets its own."""
-    out, counts = [], []
-    for part in parts:
-        text = part.decode().replace(" ", SPACE)
-        chars = np.array([ord(c) or 0x10FFFF + 1 for c in text], np.uint32)
-        index = Index(model, chars)
-        seg, at, size = relax(model, index, np.array([0]), np.array([len(chars)]))
-        ids, seg = _with_fallback(model, index.edges[at * 16 + size - 1], seg, at, text)
-        out.append(ids)
-        counts.append(len(ids))
-    return np.concatenate(out), np.array(counts)
-
-
 def decode(model: Model, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
     """The text of each run of ids; the space that encoding put first is taken away, bytes that form no character are replaced."""
     t = model.tables
@@ -430,14 +425,10 @@ def _blocks(batches, text: str):
             yield batch.slice(a, b - a)
 
 
-def _fields_of(df: DataFrame, *extra: str) -> str:
-    return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *extra])
-
-
 def encoded(df: DataFrame, model: Model, text: str = "text", out: str = "ids") -> DataFrame:
     """The same rows with a column of piece ids (replacing one of that name)."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    df = df.drop(out) if out != text else df
+    df = df.select(*(f"`{c}`" for c in without(df.columns, out) + [text] * (out.lower() == text.lower())))
 
     def run(batches):
         # a worker keeps the model, and so the segments, from task to task
@@ -446,7 +437,7 @@ def encoded(df: DataFrame, model: Model, text: str = "text", out: str = "ids") -
             ids, offsets = encode(held.value, column(part, text), known)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=[*part.schema.names, out])
 
-    return df.mapInArrow(run, _fields_of(df, f"`{out}` array<int>"))
+    return df.mapInArrow(run, typed(df, df.columns, f"`{out}` array<int>"))
 
 
 def decoded(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -461,20 +452,22 @@ def decoded(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
             texts = decode(held.value, np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(n)]))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
-    return df.mapInArrow(run, _fields_of(df, f"`{out}` string"))
+    return df.mapInArrow(run, typed(df, df.columns, f"`{out}` string"))
 
 
 def round_trip(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns, the ids of the text and the text decoded from them, in one pass."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    chosen = df.select(*keep, F.col(text).alias("__text"))
+    keep = without(keep, "ids", "decoded")
+    own = spare(keep, "text")
+    chosen = df.select(*(f"`{c}`" for c in keep), F.col(text).alias(own))
 
     def run(batches):
         # a worker keeps the model, and so the segments, from task to task
         known = held.value.tables.setdefault("known", Known())
-        for part in _blocks(batches, "__text"):
-            ids, offsets = encode(held.value, column(part, "__text"), known)
+        for part in _blocks(batches, own):
+            ids, offsets = encode(held.value, column(part, own), known)
             back = pa.array(decode(held.value, ids, offsets), pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), back], names=[*keep, "ids", "decoded"])
 
-    return chosen.mapInArrow(run, _fields_of(df.select(*keep), "ids array<int>", "decoded string"))
+    return chosen.mapInArrow(run, typed(df, keep, "ids array<int>", "decoded string"))

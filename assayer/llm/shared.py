@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
@@ -27,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset in a session on one machine (tests)."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not have:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="assayer-")
         spark.conf.set("spark.checkpoint.dir", have)
     return have.rstrip("/")
@@ -52,13 +56,45 @@ def fold(key: str, modulus: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))
 
 
-def smallest(rows: DataFrame, group: str, most: int, key: str = "id", deal: int = 64) -> DataFrame:
-    """The `most` rows of each group with the smallest hash of the key.
+def smallest(rows: DataFrame, group: str, most: int, key: str = "id") -> tuple[DataFrame, dict]:
+    """(group, key) of the `most` distinct keys of each group with the smallest hash, and the number of rows of each group.
 
-    Ranked within `deal` parts of each group first, so that what a group's tasks leave is ranked at once only when it is at most deal * most rows.
+    Rows and (about) keys are counted by group first; only rows whose hash lies below a limit derived from the number of keys (about twice the sample)
+    are told apart and ranked, so a task that ranks a group reads about twice the sample, whatever the table's size and however often a key is repeated.
+    The driver holds two numbers for each group, as the model does that is fitted on it.
     """
-    order = (F.xxhash64(key), F.col(key))
-    part = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(deal))
-    for by in ((group, "__part"), (group,)):
-        rows = rows.withColumn("__part", part).withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= most).drop("__n", "__part")
-    return rows
+    spark = rows.sparkSession
+    rows = rows.select(group, key)
+    counted = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(key).alias("keys")).collect()
+    ample = 2 * (most + 8 * math.sqrt(most) + 64)
+    limits = [(r[0], min((1 << 63) - 1, int(ample / max(1, r["keys"]) * (1 << 64)) - (1 << 63))) for r in counted]
+    limit = spark.createDataFrame(limits, f"`{group}` {dict(rows.dtypes)[group]}, __limit bigint")
+    few = rows.join(F.broadcast(limit), group).where(F.xxhash64(key) <= F.col("__limit")).select(group, key).distinct()
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), F.col(key))
+    return few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n"), {r[0]: r.n for r in counted}
+
+
+def one_text(docs: DataFrame, chosen: DataFrame, *by: str) -> DataFrame:
+    """The chosen rows (`by`, text), joined by the columns that both tables have; of rows that share `by` one, by the smallest hash of its text. `chosen` is a bounded sample."""
+    shared = [c for c in by if c in docs.columns]
+    return docs.join(F.broadcast(chosen), shared).groupBy(*by).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def spare(taken, name: str) -> str:
+    """A column name that clashes with none of those taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def without(columns, *outs: str) -> list[str]:
+    """The columns but those that an operator's own results replace."""
+    low = {o.lower() for o in outs}
+    return [c for c in columns if c.lower() not in low]
+
+
+def typed(df: DataFrame, columns, *extra: str) -> str:
+    """The columns with their types, and more, as a schema in words."""
+    kinds = dict(df.select(*(F.col(f"`{c}`") for c in columns)).dtypes)
+    return ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *extra])

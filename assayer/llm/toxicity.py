@@ -2,15 +2,16 @@
 
 The model is a logistic regression on the presence of hashed words, word pairs and stems (the first bytes of longer
 words, which catches inflected forms). Where a labelled text names an
-identity group, its terms are swapped for another term of the same kind, and training penalises the squared difference
-between both scores; a mention alone then carries no weight, which spares neutral texts about groups.
+identity group, its terms are swapped for another term of the same kind (words, pairs and stems alike), and training penalises the
+squared difference between both scores; a mention alone then carries no weight, which spares neutral texts about groups.
 
 Fitting reads a bounded sample of labelled rows, `per_class` of each class (default 3000), weighted back to the shares
 of the classes; the weights are 1 on average, so prior and regularisation don't depend on the number of labelled rows.
-Scoring reads every whole text.
+Of a learnt row at most `linear.MOST_FEATURES` distinct n-grams are used, picked by hash. Scoring reads every whole text.
 
 Defined cases: null and empty texts get the bias as their score; equal texts get equal scores; without labelled rows
-every score is 0.5; empty tables give empty results.
+every score is 0.5; empty tables give empty results; labels without an id or a value aren't learnt, an id that is labelled repeatedly
+counts once, and of documents that share an id one is learnt; columns to keep called score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ THRESHOLD = 0.3
 PULL = 1.0
 STEM_BYTES = 5
 _STEM_BASE = 0x165667B19E3779F9
-#: Terms that name groups, by kind; a swap stays within a kind.
+#: Terms that name groups, by kind; a swap stays within a kind. Each is one word: of "african-american" both words are swapped.
 IDENTITY_TERMS = {
     "faith": "muslim christian jewish hindu buddhist atheist catholic protestant sikh musulman chrétien juif moslem christ jude musulmán cristiano judío",
     "faiths": "muslims christians jews hindus buddhists atheists catholics protestants sikhs musulmans chrétiens juifs moslems christen juden musulmanes cristianos judíos",
-    "origin": "african asian european american mexican arab chinese indian turkish polish african-american latino immigrant refugee foreigner",
+    "origin": "african asian european american mexican arab chinese indian turkish polish latino immigrant refugee foreigner",
     "colour": "black white brown",
     "sex": "woman man girl boy lady gentleman femme homme frau mann mujer hombre",
     "sexes": "women men girls boys ladies gentlemen femmes hommes frauen männer mujeres hombres",
@@ -55,18 +56,20 @@ def _stems(w) -> np.ndarray:
     return np.where(long, mix(h), U64(0))
 
 
-def _swaps() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the terms, sorted, and those of the next term of the same kind."""
-    old, new = [], []
+def _swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the terms, sorted, and hashes and stems of the next term of the same kind."""
+    old, new, stems = [], [], []
     for terms in IDENTITY_TERMS.values():
-        _, h = _hash_words(pa.array([t for t in terms.split() if "-" not in t]))
-        old += h.tolist()
-        new += np.roll(h, -1).tolist()
-    order = np.argsort(np.array(old, U64))
-    return np.array(old, U64)[order], np.array(new, U64)[order]
+        w, h = _hash_words(pa.array(terms.split()))
+        old.append(h)
+        new.append(np.roll(h, -1))
+        stems.append(np.roll(_stems(w), -1))
+    old, new, stems = (np.concatenate(x) for x in (old, new, stems))
+    order = np.argsort(old)
+    return old[order], new[order], stems[order]
 
 
-_OLD, _NEW = _swaps()
+_OLD, _NEW, _NEW_STEM = _swaps()
 
 
 def _present(w, h, stem) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +98,13 @@ def features(texts: pa.Array) -> list[bytes]:
     n = len(texts)
     touched = np.bincount(w.doc[named], minlength=n) > 0
     out = []
-    for x, y, t in zip(_sets(w, h, stem, n), _sets(w, swapped, np.where(named, U64(0), stem), n) if named.any() else [None] * n, touched, strict=True):
+    for x, y, t in zip(_sets(w, h, stem, n), _sets(w, swapped, np.where(named, _NEW_STEM[at], stem), n) if named.any() else [None] * n, touched, strict=True):
+        if t:  # what both forms share is kept or left out in both
+            few = np.union1d(x, y)
+            few = few[linear.few(few)]
+            x, y = x[np.isin(x, few)], y[np.isin(y, few)]
+        else:
+            x = x[linear.few(x)]
         out.append(np.concatenate([np.array([len(x)], np.int32), x, *([y] if t else [])]).tobytes())
     return out
 

@@ -108,15 +108,115 @@ def test_foreign_script_is_rejected(spark):
 def test_smallest_takes_what_one_ranking_would(spark):
     from assayer.llm.shared import smallest
 
-    rows = [(i % 5000, "ab"[i % 7 == 0]) for i in range(6000)]
+    rows = [(i % 5000, "ab"[i % 5000 % 7 == 0]) for i in range(6000)]
     hashed = {r.id: r.h for r in spark.range(5000).selectExpr("id", "xxhash64(id) as h").collect()}
-    for most, deal in ((7, 64), (300, 4), (9000, 8)):
-        got = sorted((r.g, r.id) for r in smallest(spark.createDataFrame(rows, "id bigint, g string"), "g", most, deal=deal).collect())
+    for most in (7, 300, 9000):
+        found, totals = smallest(spark.createDataFrame(rows, "id bigint, g string"), "g", most)
         want = []
         for g in "ab":
-            want += [(g, i) for i in sorted((i for i, k in rows if k == g), key=lambda i: (hashed[i], i))[:most]]
-        assert got == sorted(want)
-    assert smallest(spark.createDataFrame([], "id bigint, g string"), "g", 3).count() == 0
+            want += [(g, i) for i in sorted({i for i, k in rows if k == g}, key=lambda i: (hashed[i], i))[:most]]
+        assert sorted((r.g, r.id) for r in found.collect()) == sorted(want) and sum(totals.values()) == 6000
+    assert smallest(spark.createDataFrame([], "id bigint, g string"), "g", 3)[0].count() == 0
+
+
+def test_a_repeated_id_stays_within_the_sample(spark):
+    """A third of all rows share one id, under one label and language; none of them escapes the bound, and the ranking reads a few times the sample."""
+    from assayer.llm.shared import smallest
+
+    docs = spark.range(100_000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "concat('text number ', id % 50) as text", "if(id % 2 = 0, 'en', 'fr') as lang", "cast(id % 2 as int) as quality")
+    rows, share = linear.sampled(docs, docs, "quality", 50)
+    got = rows.collect()
+    assert len(got) == 100 and len({(r.id, r.label) for r in got}) == 100 and all(0 < x < 0.01 for x in share.values())
+    model = langid.fit(docs, per_language=40)
+    assert model.languages == ["en", "fr"]
+    few, _ = smallest(docs.select("doc_id", "lang"), "lang", 40, key="doc_id")
+    assert few.count() == 80
+    same = spark.range(20_000).selectExpr("cast(1 as bigint) as doc_id", "concat('w', id) as text", "'en' as lang", "1 as quality")
+    assert linear.sampled(same, same, "quality", 50)[0].count() == 1 and langid.fit(same).languages == ["en"]
+
+
+def test_learnt_rows_are_bounded_and_scores_read_all(spark, make):
+    long = " ".join(f"x{i} good{i}" for i in range(60_000))
+    docs = make([(1, long), (2, "bad words here"), (3, long + " tail")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    for mod in (quality, toxicity):
+        model = mod.fit(docs, labels, "quality")
+        assert all(len(f) < 4 * (2 * linear.MOST_FEATURES + 2) * 2 for f in mod.features(pa.array([long, "x muslims " + long])))
+        assert len({r.doc_id for r in mod.scores(docs, model).collect()}) == 3
+        any_model = (np.random.default_rng(1).normal(size=mod.DIM).astype(np.float32) / 100, 0.0)
+        whole = [float(x) for x in mod.score(pa.array([long, long + " tail"]), any_model)]
+        assert whole[0] != whole[1]
+
+
+def test_kept_columns_that_clash_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "some words", "old", 5, "y")], "doc_id bigint, text string, score string, text_ int, LANG_PRED string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    got = quality.scores(docs, quality.fit(docs, labels), keep=tuple(docs.columns))
+    assert got.columns == ["doc_id", "text", "text_", "LANG_PRED", "score", "predicted"] and got.first().text_ == 5
+    got = langid.predict(docs, langid.fit(docs, lang="LANG_PRED"), keep=tuple(docs.columns))
+    assert got.columns == ["doc_id", "text", "text_", "lang_pred", "score", "distance", "rejected"] and got.count() == 1
+
+
+def test_swaps_replace_words_pairs_and_stems():
+    texts = pa.array(["the christians came", "an african-american woman"])
+    swapped = pa.array(["the jews came", "an asian-mexican man"])
+    for f, want in zip(toxicity.features(texts), toxicity.features(swapped), strict=True):
+        x, y = np.frombuffer(f, np.int32), np.frombuffer(want, np.int32)
+        assert sorted(x[x[0] + 1 :]) == sorted(y[1 : y[0] + 1])
+
+
+def test_one_step_leaves_shared_coordinates_to_the_label():
+    learner = linear.Ftrl(4)
+    learner.z[:3] = -1.0, 0.5, -2.0
+    shared, own, other = 0, 1, 2
+    e = linear.Example(np.array([shared, own]), np.ones(2), 1, 1.0, (np.array([shared, other]), np.ones(2)))
+    plain = linear.Ftrl(4)
+    plain.z[:] = learner.z
+    learner.learn(e, pull=3.0)
+    plain.learn(linear.Example(e.index, e.value, 1), pull=0.0)
+    assert learner.n[shared] == pytest.approx(plain.n[shared]) and learner.n[4] == pytest.approx(plain.n[4])
+    assert learner.n[own] != pytest.approx(plain.n[own]) and learner.n[other] > 0
+
+
+@pytest.mark.parametrize(("module", "query", "label", "n", "k"), [(quality, "op4_quality", "quality", 5, 0), (toxicity, "op8_toxicity", "toxic", 4, 2)])
+def test_label_queries_match_a_plain_scorer(spark, sf_dir, monkeypatch, module, query, label, n, k):
+    """Every row of the query against sums over a dictionary of the learnt weights, one text at a time."""
+    held = []
+    monkeypatch.setattr(module, "fit", lambda *a, fit=module.fit: held.append(fit(*a)) or held[0])
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in queries.QUERIES[query](spark, sf_dir).collect()}
+    weight, bias = dict(enumerate(held[0][0].tolist())), held[0][1]
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        x = np.frombuffer(module.features(pa.array([r.text]))[0], np.int32).tolist()
+        if module is quality:
+            half = len(x) // 2
+            total = sum(c for c in x[half:])
+            z = bias + (quality.SCALE * sum(weight[i] * c for i, c in zip(x[:half], x[half:], strict=True)) / total if total else 0)
+        else:
+            z = bias + sum(weight[i] for i in x[1 : x[0] + 1])
+        s = 1 / (1 + np.exp(-z))
+        assert got[r.doc_id] == (crc(r.doc_id, n) == k, pytest.approx(s, abs=1e-6), int(got[r.doc_id][1] >= 0.3))
+
+
+def test_language_query_matches_a_plain_nearest_centroid(spark, sf_dir, monkeypatch):
+    held = []
+    monkeypatch.setattr(langid, "fit", lambda *a, fit=langid.fit: held.append(fit(*a)) or held[0])
+    got = {r.doc_id: r for r in queries.op1_language(spark, sf_dir).collect()}
+    m = held[0]
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        c = langid.counts(pa.array([r.text]))[0]
+        v = [np.log1p(float(x)) * float(i) for x, i in zip(c, m.idf, strict=True)]
+        norm = sum(x * x for x in v) ** 0.5
+        best = {}
+        for centre, owner in zip(m.centroids, m.owner, strict=True):
+            s = sum(a * float(b) for a, b in zip(v, centre, strict=True)) / norm if norm else 0.0
+            best[owner] = max(best.get(owner, -2.0), s)
+        row = got[r.doc_id]
+        if not any(ch.isalpha() for ch in r.text or ""):
+            assert row.lang_pred == "und" and row.score == 0
+            continue
+        top = max(best.values())
+        assert best[m.languages.index(row.lang_pred)] == pytest.approx(top, abs=1e-5) and row.distance == pytest.approx(1 - top, abs=1e-5)
+        assert row.score == pytest.approx(1 / sum(np.exp(langid._SHARPNESS * (x - top)) for x in best.values()), abs=1e-4)
 
 
 def toxic_rows(n):

@@ -64,3 +64,23 @@ def test_columns_and_edges(spark, make, model):
     rows = S.decoded(S.encoded(docs, model), model).collect()
     assert sorted((r.doc_id or 0, len(r.ids), r.decoded, r.secrets) for r in rows) == [(0, 0, "", "x"), (1, 2, "a b", "x"), (1, 2, "a b", "x"), (2, 0, "", "x")]
     assert S.encoded(docs.where(F.lit(False)), model).count() == 0
+
+
+def test_nul_characters_stand_in_the_same_index(model, library, monkeypatch):
+    texts = [" ".join(f"w{i}\0x" for i in range(500)), "a\0", "\0", "x\0\0 \0y", "plain"]
+    made = []
+    monkeypatch.setattr(S, "Index", lambda *a, index=S.Index: (made.append(1), index(*a))[1])
+    assert run(model, texts) == [library.encode(t) for t in texts] and len(made) == 1
+
+
+def test_pieces_of_any_length():
+    words = ["ab" * 12, "ab", "abab", "ab" * 4, "ab" * 8]
+    pieces = ["<unk>", "a", "b", "▁", *words]
+    model = S.Model(pieces, [0.0, -10.0, -11.0, -12.0, -5.0, -1.0, -2.0, -3.0, -4.0], [S._UNKNOWN, *[S._NORMAL] * 8], dummy_prefix=False).prepared()
+    assert run(model, ["ab" * 12, "ab" * 13]) == [[4], [4, 5]] and run(model, ["ba"]) == [[2, 1]]
+
+
+def test_clashing_columns_are_replaced(spark, model):
+    docs = spark.createDataFrame([(1, "a b", 7, "x", 3)], "doc_id bigint, text string, ids int, decoded string, text_ int")
+    got = S.round_trip(docs, model, keep=tuple(docs.columns))
+    assert got.columns == ["doc_id", "text", "text_", "ids", "decoded"] and got.first().decoded == "a b" and got.first().text_ == 3
