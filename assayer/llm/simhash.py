@@ -1,13 +1,16 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints of 64 bits come from the XXH64 of three-word shingles, by majority of each bit. Distinct
-fingerprints are dealt by pairs of equal bit blocks: 64 bits in five blocks, and two fingerprints that
-differ in at most three bits agree in two blocks at least, so ten keys find every link. In each group of
-a key the rows stand in Gray order; a tree over them factors the bits that all rows of a node share into
-the node, and whole nodes are left out when these shared bits already differ in more than the radius, or
-when both nodes lie wholly in one component. A group gives the edges of a spanning forest, never its pairs.
-Keys that hold unusually many rows are dealt again by four sub-blocks of the remaining bits (the radius of
-three leaves one of four equal), so no group grows with the input.
+Fingerprints of 64 bits come from the XXH64 of three-word shingles, by majority of each bit. The index over the distinct
+fingerprints is a hierarchy of shared bits:
+
+* Its upper nodes share whole blocks of bits. Two fingerprints that differ in at most three bits agree in one of four blocks of 16, so each stands
+  below four upper nodes, one for each block. A node with more than `most` rows has nodes of its own below it, by four blocks of the bits that are
+  left, and so on until 13 bits or fewer are left, of which there are 8192 patterns at most. Nodes are dealt over the cluster, so none grows with the input.
+* Below, the rows of a node stand by the Gray rank of the bits left. Runs of 8, 64, 512, ... rows are nodes that factor out the bits which all
+  their rows share. Pairs of nodes are followed from the top; each level adds the differences in the bits that became shared there, and a pair whose
+  accumulated differences exceed the radius is left with all its rows. So is one whose rows are all in one component already.
+
+A node gives the edges of a spanning forest, never its pairs.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other; fewer than three words
 make one shingle; equal texts have equal fingerprints and so one component; a row with a null doc_id takes part,
@@ -17,8 +20,6 @@ an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,22 +33,17 @@ from assayer.llm.text import LOWER, SPACES, U64, blocks, column, gram_starts, ra
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-_LEAF = 64
+_FAN = 8
 _HEAD = 256
-_BUCKETS = 1 << 16
-_HOT_ROWS = 100_000
-
-
-def _bits(start: int, width: int) -> int:
-    return ((1 << width) - 1) << start
+#: Rows of an upper node that one task searches by itself.
+_MOST = 8192
+#: With so few bits left a node has 8192 rows at most.
+_FEW_BITS = 13
+_PAIRS = 1 << 20
 
 
-#: The shared bits of each of the ten keys, and for each the four sub-blocks of the rest.
-MASKS = [_bits(*a) | _bits(*b) for a, b in combinations(_BLOCKS, 2)]
-
-
-def _sub_masks(mask: int) -> list[int]:
+def blocks_below(mask: int) -> list[int]:
+    """The shared bits of the four nodes below a node with these shared bits: a quarter of the bits left is added to each."""
     free = [i for i in range(64) if not mask >> i & 1]
     cuts = [len(free) * k // (RADIUS + 1) for k in range(RADIUS + 2)]
     return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -129,71 +125,82 @@ def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def _nodes(fp: np.ndarray, labels: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    at = np.arange(0, len(fp), size)
-    ands, ors = np.bitwise_and.reduceat(fp, at), np.bitwise_or.reduceat(fp, at)
-    low, high = np.minimum.reduceat(labels, at), np.maximum.reduceat(labels, at)
-    return ands, ~(ands ^ ors), np.where(low == high, low, -1)
-
-
-def _open(nodes: tuple[np.ndarray, ...], i, j, radius: int) -> np.ndarray:
-    pattern, mask, one = nodes
-    apart = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) > radius
-    return ~apart & ~((one[i] == one[j]) & (one[i] >= 0))
-
-
-def search(fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Component labels of one group of distinct fingerprints in Gray order, by the tree with leaves of 64 rows and nodes of 64 leaves."""
-    n = len(fp)
-    labels = np.arange(n)
-    for d in range(1, min(9, n)):
-        near = np.flatnonzero(np.bitwise_count(fp[:-d] ^ fp[d:]) <= radius)
-        labels = merged(labels, near, near + d)
-    top = _LEAF * _LEAF
-    count = -(-n // top)
-    for i in range(count):
-        upper = _nodes(fp, labels, top)
-        for j in i + np.flatnonzero(_open(upper, i, np.arange(i, count), radius)):
-            leaves = _nodes(fp, labels, _LEAF)
-            a = np.arange(i * _LEAF, min((i + 1) * _LEAF, len(leaves[0])))
-            b = np.arange(j * _LEAF, min((j + 1) * _LEAF, len(leaves[0])))
-            x, y = (g.ravel() for g in np.meshgrid(a, b, indexing="ij"))
-            ok = (x <= y) & _open(leaves, x, y, radius)
-            x, y = x[ok], y[ok]
-            for s in range(0, len(x), 64):
-                r = (x[s : s + 64, None] * _LEAF + np.arange(_LEAF))[:, :, None]
-                c = (y[s : s + 64, None] * _LEAF + np.arange(_LEAF))[:, None, :]
-                inside = (r < c) & (c < n)
-                hit = inside & (np.bitwise_count(fp[np.minimum(r, n - 1)] ^ fp[np.minimum(c, n - 1)]) <= radius)
-                k, p, q = np.nonzero(hit)
-                if len(k):
-                    labels = merged(labels, r[k, p, 0], c[k, 0, q])
-    return labels
+class Tree:
+    """The nodes over rows that stand by group and Gray rank: level k has runs of 8 ** k rows, none across groups."""
+
+    def __init__(self, fp: np.ndarray, starts: np.ndarray, labels: np.ndarray, radius: int):
+        """starts: the first row of each group, and the end."""
+        self.labels, self.radius = labels, radius
+        sizes = np.diff(starts)
+        place = np.arange(len(fp)) - np.repeat(starts[:-1], sizes)
+        self.first, self.pattern, self.mask, self.one = [], [], [], []
+        size = 1
+        while True:
+            at = np.flatnonzero(place % size == 0)
+            ands, ors = np.bitwise_and.reduceat(fp, at), np.bitwise_or.reduceat(fp, at)
+            low, high = np.minimum.reduceat(labels, at), np.maximum.reduceat(labels, at)
+            self.first.append(np.append(at, len(fp)))
+            self.pattern.append(ands)
+            self.mask.append(~(ands ^ ors))
+            self.one.append(np.where(low == high, low, -1))
+            if size >= sizes.max():
+                break
+            size *= _FAN
+        # a group is entered at the level where it is one node
+        self.roots = [starts[:-1][(sizes <= _FAN**k) & ((sizes > _FAN ** (k - 1)) if k else False)] for k in range(len(self.first))]
+
+    def search(self) -> np.ndarray:
+        """The labels after all links within groups."""
+        for k, rows in enumerate(self.roots):
+            if len(rows):
+                node = np.searchsorted(self.first[k], rows)
+                none = np.zeros(len(rows), np.int64)
+                self._follow(k, node, node, none, none.astype(U64))
+        return self.labels
+
+    def _follow(self, k: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray, seen: np.ndarray) -> None:
+        """Pairs of nodes of level k, with the differences found above and the bits that these were found in."""
+        both = self.mask[k][a] & self.mask[k][b]
+        apart = apart + np.bitwise_count((self.pattern[k][a] ^ self.pattern[k][b]) & both & ~seen)
+        done = self.one[k]
+        keep = (apart <= self.radius) & ((done[a] != done[b]) | (done[a] < 0))
+        a, b, apart, both = a[keep], b[keep], apart[keep], both[keep]
+        if not len(a):
+            return
+        if not k:
+            self.labels = merged(self.labels, a, b)
+            return
+        # the nodes below: each of a's with each of b's, in bounded portions
+        rows = self.first[k - 1]
+        fa, ea, fb, eb = (np.searchsorted(rows, self.first[k][x]) for x in (a, a + 1, b, b + 1))
+        n = (ea - fa) * (eb - fb)
+        portion = np.cumsum(n) // _PAIRS
+        for p in np.split(np.arange(len(a)), np.flatnonzero(np.diff(portion)) + 1):
+            m = n[p]
+            of = np.repeat(p, m)
+            nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            width = (eb - fb)[of]
+            x, y = fa[of] + nth // width, fb[of] + nth % width
+            ok = x < y if k == 1 else x <= y
+            self._follow(k - 1, x[ok], y[ok], apart[of][ok], both[of][ok])
 
 
 def forest(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links in each group; rows stand by group and Gray rank."""
     n = len(fp)
+    if not n:
+        return fp, fp
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [n]])
     labels = np.arange(n)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [n]]) if n else np.zeros(1, np.int64)
-    sizes = np.diff(starts)
-    end = np.repeat(starts[1:], sizes)
-    small = np.repeat(sizes <= _LEAF, sizes)
-    at, d = np.flatnonzero(small), 1
-    while True:
-        at = at[at + d < end[at]]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
+    # neighbours in Gray order first: what they join needn't be searched
+    for d in range(1, _FAN):
+        near = np.flatnonzero((np.bitwise_count(fp[:-d] ^ fp[d:]) <= radius) & (group[:-d] == group[d:])) if n > d else np.zeros(0, np.int64)
         labels = merged(labels, near, near + d)
-        d += 1
-    for g in np.flatnonzero(sizes > _LEAF):
-        a, b = starts[g], starts[g + 1]
-        labels[a:b] = a + search(fp[a:b], radius)
+    labels = Tree(fp, starts, labels, radius).search()
     # members link to the head of their run of 256, heads to the head before: no node has many edges
     order = np.argsort(labels, kind="stable")
     own = labels[order]
-    fresh = np.concatenate([[True], own[1:] != own[:-1]]) if n else np.zeros(0, bool)
+    fresh = np.concatenate([[True], own[1:] != own[:-1]])
     rank = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     head = np.where(rank % _HEAD, np.arange(n) - rank % _HEAD, np.arange(n) - _HEAD)
     linked = rank > 0
@@ -201,7 +208,7 @@ def forest(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.
 
 
 def _search_batches(batches):
-    """Streams rows by group: whole groups are searched as soon as the next one begins."""
+    """Streams rows by group: whole groups are searched, many at once, as soon as the next one begins."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rows = 0
 
@@ -220,7 +227,7 @@ def _search_batches(batches):
         return pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b))], names=["a", "b"])
 
     for batch in batches:
-        k, key, fp = (np.asarray(column(batch, c)) for c in ("k", "key", "fp"))
+        k, key, fp = (np.asarray(column(batch, c)) for c in ("node", "key", "fp"))
         held.append((k, key, fp.view(U64)))
         rows += len(fp)
         if rows >= 20_000 and (out := flush(False)) is not None:
@@ -235,30 +242,37 @@ def _gray_rank(x):
     return x
 
 
-def _keyed(nodes: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-    key = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("key"), F.lit(_long(~m & (1 << 64) - 1)).alias("free")) for k, m in masks]
-    return nodes.select("fp", F.explode(F.array(*key)).alias("s")).select("s.k", "s.key", "fp", "s.free")
+def _below(rows: DataFrame, masks: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """Rows (node, fp) dealt to the four nodes below theirs, as (node, key, mask, fp), and the shared bits of these nodes by their number."""
+    below = [(node, 4 * node + 1 + j, _long(m)) for node, mask in masks.items() for j, m in enumerate(blocks_below(mask))]
+    # as many rows as there are block choices down to this depth, whatever the input
+    table = rows.sparkSession.createDataFrame(below, "node int, child int, mask bigint")
+    dealt = rows.join(F.broadcast(table), "node").select(F.col("child").alias("node"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "mask", "fp")
+    return dealt, {c: m & (1 << 64) - 1 for _, c, m in below}
 
 
-def links(nodes: DataFrame, buckets: int = _BUCKETS, hot_rows: int = _HOT_ROWS) -> DataFrame:
+def links(nodes: DataFrame, most: int = _MOST) -> DataFrame:
     """Spanning edges (a, b) between distinct fingerprints of column `fp` that differ in at most three bits."""
-    first = _keyed(nodes, list(enumerate(MASKS)))
-    bucket = (F.col("k") * buckets + F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("int")
-    counts = first.groupBy(bucket.alias("bucket")).count()
-    # hot buckets hold four times the mean at least, so there are at most a quarter of the buckets
-    mean = nodes.count() / buckets
-    hot = [r.bucket for r in counts.where(F.col("count") > F.lit(int(4 * mean) + hot_rows)).select("bucket").collect()]
-    if hot:
-        spark = nodes.sparkSession
-        named = F.broadcast(spark.createDataFrame([(x,) for x in hot], "bucket int"))
-        tagged = first.withColumn("bucket", bucket)
-        again = tagged.join(named, "bucket", "left_semi")
-        sub = F.array(*(F.array(*(F.lit(_long(m)) for m in _sub_masks(mask))) for mask in MASKS))
-        again = again.select((F.col("k") + 0).alias("t"), "fp", F.posexplode(F.element_at(sub, F.col("k") + 1)).alias("j", "m"))
-        again = again.select((F.lit(len(MASKS)) + F.col("t") * (RADIUS + 1) + F.col("j")).alias("k"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp", F.bitwise_not("m").alias("free"))
-        first = tagged.join(named, "bucket", "left_anti").drop("bucket").unionByName(again)
-    ranked = first.select("k", "key", "fp", _gray_rank(F.col("fp").bitwiseAND(F.col("free"))).alias("rank"))
-    dealt = ranked.repartition("k", "key").sortWithinPartitions("k", "key", "rank", "fp")
+    n = nodes.count()
+    rows, masks = nodes.select(F.lit(0).alias("node"), "fp"), {0: 0}
+    ready = None
+    while True:
+        rows, masks = _below(rows, masks)
+        fixed = min(m.bit_count() for m in masks.values())
+        last = 64 - fixed <= _FEW_BITS
+        # where the mean node is large already, all are dealt again without a count
+        if not last and n / 2.0**fixed > most / 4:
+            rows = rows.select("node", "fp")
+            continue
+        large = None if last else checkpointed(rows.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node", "key"))
+        if large is None or not large.limit(1).count():
+            ready = rows if ready is None else ready.unionByName(rows)
+            break
+        small = rows.join(large, ["node", "key"], "left_anti")
+        ready = small if ready is None else ready.unionByName(small)
+        rows = rows.join(large, ["node", "key"], "left_semi").select("node", "fp")
+    ranked = ready.select("node", "key", "fp", _gray_rank(F.col("fp").bitwiseAND(F.bitwise_not("mask"))).alias("rank"))
+    dealt = ranked.repartition("node", "key").sortWithinPartitions("node", "key", "rank", "fp")
     return dealt.mapInArrow(_search_batches, "a bigint, b bigint")
 
 

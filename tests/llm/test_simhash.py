@@ -39,18 +39,63 @@ def test_tree_search_finds_every_link():
         for s in (1, 2, 4, 8, 16, 32):
             rank ^= rank >> np.uint64(s)
         fps = fps[np.argsort(rank)]
-        labels = simhash.search(fps)
-        want = brute.components(list(range(len(fps))), [int(x) for x in fps]) if len(fps) < 2000 else None
-        if want:
-            assert labels.tolist() == want
-
-
-def test_distributed_links_with_and_without_hot_buckets(spark):
+        x, y = simhash.forest(fps, np.zeros(len(fps)))
+        label = {int(f): int(f) for f in fps}
+
+        def root(f, label=label):
+            while label[f] != f:
+                f = label[f]
+            return f
+
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            assert root(a) != root(b)  # a forest: no edge closes a circle
+            label[root(a)] = root(b)
+        if len(fps) < 2000:
+            want = roots([int(f) for f in fps])
+            assert len({(root(f), c) for f, c in want.items()}) == len(set(want.values())) == len({root(f) for f in want})
+        else:
+            assert len(x) == 0
+
+
+def test_many_groups_at_once():
+    """Groups of all sizes, one row to hundreds, in one call: no edge leaves its group, and every link is found."""
+    rng = np.random.default_rng(9)
+    fps, group = [], []
+    for g, n in enumerate([1, 2, 7, 8, 9, 64, 65, 300, 1, 520]):
+        own = sorted({near(12345 << 20, rng, int(rng.integers(0, 9))) for _ in range(n)})
+        fps += own
+        group += [g] * len(own)
+    a, b = simhash.forest(np.array(fps, np.uint64), np.array(group))
+    edges = set(zip(a.tolist(), b.tolist(), strict=True))
+    total = sum(len(own) - len(set(roots(own).values())) for g in set(group) for own in [[f for f, k in zip(fps, group, strict=True) if k == g]])
+    assert len(a) == total and edges
+
+
+def test_a_pair_of_nodes_is_left_by_accumulated_differences():
+    """Two far clusters: no pair of rows across them is compared."""
+    rng = np.random.default_rng(2)
+    fps = sorted({near(0, rng, 2) for _ in range(60)} | {near((1 << 64) - 1, rng, 2) for _ in range(60)})
+    tree = simhash.Tree(np.array(fps, np.uint64), np.array([0, len(fps)]), np.arange(len(fps)), 3)
+    compared = []
+    follow = tree._follow
+    tree._follow = lambda k, a, b, *r: (compared.append(len(a)) if k == 0 else None, follow(k, a, b, *r))
+    tree.search()
+    assert 0 < sum(compared) < len(fps) * (len(fps) - 1) / 2 * 0.7
+
+
+def test_nodes_below_cover_the_radius():
+    for mask in (0, *simhash.blocks_below(0), *simhash.blocks_below(simhash.blocks_below(0)[2])):
+        below = simhash.blocks_below(mask)
+        added = [m & ~mask for m in below]
+        assert len(below) == 4 and all(m & mask == mask for m in below) and sum(x.bit_count() for x in added) == 64 - mask.bit_count()
+
+
+def test_distributed_links_at_every_depth(spark):
     fps = random_prints(300, 4, 120)
     nodes = spark.createDataFrame([(simhash._long(x),) for x in fps], "fp bigint")
     want = roots(fps)
-    for args in ({}, {"buckets": 64, "hot_rows": 0}):
-        got = {r.node: r.root for r in connected_components(simhash.links(nodes, **args)).collect()}
+    for most in (simhash._MOST, 100, 3):
+        got = {r.node: r.root for r in connected_components(simhash.links(nodes, most)).collect()}
         groups = {}
         for x in fps:
             groups.setdefault(got.get(simhash._long(x), simhash._long(x)), set()).add(want[x])
