@@ -1,3 +1,6 @@
+import random
+import re
+
 import brute
 import pyarrow as pa
 import pytest
@@ -59,6 +62,7 @@ def test_redaction_and_empty_table(spark, make):
 )
 def test_a_single_assignment_passes_the_prefilter(text):
     assert secrets.literal_spans(text)
+    assert re.search(secrets._MAY_LEX, text)
     assert [x for x in secrets.spans_of(pa.array([text]))[0] if x[1] == 3] == sorted(secrets.literal_spans(text))
 
 
@@ -70,8 +74,61 @@ def test_a_single_assignment_passes_the_prefilter(text):
 def test_subscripts_types_and_tabs(text):
     text %= "Zx81kQ0pLm22"
     found = [x for x in secrets.spans_of(pa.array([text]))[0] if x[1] == 3]
-    assert [text[s:e] for s, _, e in found] == ["Zx81kQ0pLm22"] and found == sorted(secrets.literal_spans(text))
+    assert [text[s:e] for s, _, e in found] == ["Zx81kQ0pLm22"], list(secrets.assignments(text))
+    assert found == sorted(secrets.literal_spans(text))
 
 
 def test_a_type_names_no_secret():
     assert secrets.literal_spans('title: str = "Zx81kQ0pLm22"\nthe api_key: please set name = "Zx81kQ0pLm22"') == []
+
+
+VALUE = "Zx81kQ0pLm22"
+SNIPPETS = [
+    'arr[password] = "%s"', 'os.environ["API_SECRET"] = "%s"', 'db_credential: str = "%s"', '<add key="DbPassword" value="%s"/>', "<password>%s</password>", 'db_pwd = """%s"""', 'k = "%s"\nclient_private_key = k', 'db_pwd = other = "%s"',
+    'db_pwd = os.getenv("X") or "%s"', 'db_pwd = env.X ?? "%s"', "db_pwd => '%s'", "export DB_PWD=%s", "spring.datasource.password=%s", "client-secret: %s", '{"a": {"db_pwd": "%s"}}', "db_pwd: |\n  %s\nnext: 1", 'k = "%s"\ndef f():\n    db_pwd = k', 'db_pwd = b"%s"',
+    "it's db_pwd = '%s'", 'void f() { var k = "%s"; if (x) { private_key = k; } }',
+]
+SILENT = [
+    'def f(): k = "%s"\ndef g(k): private_key = k', 'void f() { k = "%s"; } void g(String k) { private_key = k; }', 'void f() { String k = "%s"; }\nvoid g() { private_key = k; }', 'k = "%s"\nfn = (k) => { api_secret = k }', 'class A:\n    k = "%s"\n\nprivate_key = k',
+    'color = "%s"', "token_type = '%s'",
+]
+
+
+@pytest.mark.parametrize("text", SNIPPETS)
+def test_syntax_that_names_a_secret(text):
+    text %= VALUE
+    assert [text[a:b] for a, _, b in secrets.literal_spans(text)] == [VALUE]
+
+
+@pytest.mark.parametrize("text", SILENT)
+def test_constants_stay_in_their_scope(text):
+    assert secrets.literal_spans(text % VALUE) == []
+
+
+def test_parts_are_joined_and_all_reported():
+    text = 'db_pwd = "abc1" + "def2"'
+    assert [text[a:b] for a, _, b in sorted(secrets.literal_spans(text))] == ["abc1", "def2"]
+    block = "private_key: |\n  -----BEGIN KEY-----\n  abc123\n\n  -----END KEY-----\nname: x\n"
+    ((a, _, b),) = secrets.literal_spans(block)
+    assert block[a:b].startswith("-----BEGIN") and block[a:b].endswith("END KEY-----")
+
+
+def test_spans_do_not_depend_on_text_outside_their_scope():
+    """Lines before and after a snippet, and other definitions, change none of its spans, and add none by themselves."""
+    rng = random.Random(4)
+    other = ["x = 'a'", "plain prose: it's here, isn't it?", "", "if (a == b) { c(); }", "def other(k):\n    return k", "<p>some text</p>", "list = [1, 2]", '{"n": 1}', "url: https://x.example/y?z=1", "k = 12"]
+    for text in [s % VALUE for s in (*SNIPPETS, *SILENT)]:
+        alone = sorted(secrets.literal_spans(text))
+        for _ in range(20):
+            before = "".join(rng.choice(other) + "\n" for _ in range(rng.randrange(0, 4)))
+            after = "".join("\n" + rng.choice(other) for _ in range(rng.randrange(0, 4)))
+            got = secrets.spans_of(pa.array([before + text + after]))[0]
+            assert sorted((a - len(before), k, b - len(before)) for a, k, b in got if k == 3) == alone, before + text + after
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = 'x = 1; {"a": [1, 2]} it\'s """\n' * 40_000 + 'db_pwd = "Zx81kQ0pLm22"'
+    assert [long[a:b] for a, _, b in secrets.literal_spans(long)] == [VALUE]
+    docs = spark.createDataFrame([(1, 'db_pwd = "Zx81kQ0pLm22"', "old", 4)], "doc_id bigint, text string, SECRETS string, text_ int")
+    got = secrets.scan(docs)
+    assert got.columns == ["doc_id", "text", "text_", "secrets"] and got.first().text_ == 4 and len(got.first().secrets) == 1
