@@ -2,12 +2,16 @@
 
 A signature is a chain: a common word (the anchor) and the two content words that follow it; frequent words in
 between are passed over. A text's fingerprint is the set of its chains, so what stands around the running text
-(menus, numbers, names) hardly counts. Two fingerprints are compared by Jaccard; sets whose sizes alone keep them
-below a wanted likeness count as unlike (a pair reaches at most smaller / larger).
+(menus, numbers, names) hardly counts. Beside its c chains a text has single words as signatures, those whose hash lies in the
+lowest part 1 / (1 + c): all words of a text without a chain, hardly any of a long one. One rule for all texts, so
+a text that gains its first chain by an edit keeps half of its signatures, and with more chains what it loses goes over into them.
+
+Two fingerprints are compared by pruned Jaccard: sets are partitioned by length such that sets of a likeness of `least` or more (default 0.05) are in
+one partition or in neighbouring ones; pairs further apart, and those whose Jaccard turns out lower, have likeness 0. Signatures have 32 bits.
 
 Defined cases: null counts as an empty text; an empty text has the empty fingerprint, and two empty ones have
-likeness 1; a text with words but no chain takes each word as a chain, one without words its whole text; equal texts
-have equal fingerprints. Rows are put in order by doc_id (null last), then text, so repeated rows follow each other;
+likeness 1; a text without words takes its whole text as signature; equal texts
+have equal fingerprints. Rows are put in order by doc_id (null last), then the hash of the text, then the text, so repeated rows follow each other;
 an empty table gives an empty result.
 """
 
@@ -17,12 +21,14 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import bounded_batches, spare, typed, without
 from assayer.llm.text import NON_WORD, U64, blocks, column, mix, raw, words
 
 CHAIN = 2
@@ -33,8 +39,10 @@ COMMON_WORDS = (
     "der die das und den dem ein eine ist nicht von zu mit auf für sich im es auch als an "
     "el los las y del una por con para su al lo como más o sus si no"
 )
+LEAST = 0.05
 _BLOCK = 1 << 20
 _LOWEST = -(1 << 63)
+_MIX = 0x9E3779B97F4A7C15
 
 
 def _common() -> np.ndarray:
@@ -70,13 +78,13 @@ class Sets:
             anchor, nth = anchor[inside], nth[inside]
         s = mix(h[anchor] + U64(1))
         for k in range(chain):
-            s = mix(s * U64(0x9E3779B97F4A7C15) + h[content[nth + k]])
+            s = mix(s * U64(_MIX) + h[content[nth + k]])
         owner = doc[anchor]
-        # texts without a chain: every word; without words: the text itself
-        bare = np.bincount(owner, minlength=n) == 0
-        alone = np.flatnonzero(bare[doc]) if len(doc) else np.zeros(0, np.int64)
-        owner, s = np.concatenate([owner, doc[alone]]), np.concatenate([s, mix(h[alone])])
-        odd = np.flatnonzero(bare & (w.counts == 0) & (np.asarray(pc.binary_length(texts)) > 0))
+        # the words in the lowest part of all hashes, the smaller the more chains there are; without words: the text itself
+        share = U64(2**64 - 1) // (np.bincount(owner, minlength=n).astype(U64) + U64(1))
+        alone = np.flatnonzero(mix(h) <= share[doc])
+        owner, s = np.concatenate([owner, doc[alone]]), np.concatenate([s, mix(h[alone] ^ U64(_MIX))])
+        odd = np.flatnonzero((w.counts == 0) & (np.asarray(pc.binary_length(texts)) > 0))
         if len(odd):
             owner = np.concatenate([owner, odd])
             s = np.concatenate([s, np.array([xxhash.xxh64_intdigest(texts[int(i)].as_py()) for i in odd], U64)])
@@ -87,17 +95,24 @@ class Sets:
         return [base64.b64encode(flat[a:b].tobytes()).decode() for a, b in zip(self.at, self.at[1:], strict=False)]
 
 
-def likeness(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: float = 0.0) -> np.ndarray:
-    """Jaccard of pairs of sets, packed by pair; pairs that can't reach `least` by their sizes get 0."""
+def length_part(sizes: np.ndarray, least: float) -> np.ndarray:
+    """The partition of each set by its length; sets of a Jaccard of `least` or more are in one partition or in neighbouring ones. An empty set is alone."""
+    return np.where(sizes > 0, np.floor(np.log(np.maximum(sizes, 1)) / -np.log(least) + 1e-9).astype(np.int64), -9)
+
+
+def likeness(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Jaccard of pairs of sets, packed by pair (pair << 32 | signature), from `least` up, else 0. Pairs from partitions too far apart aren't intersected."""
     n = len(na)
-    both = np.intersect1d(a, b, assume_unique=True)
-    common = np.bincount((both >> U64(32)).astype(np.int64), minlength=n)
+    may = (np.abs(length_part(na, least) - length_part(nb, least)) <= 1) & (np.minimum(na, nb) >= least * np.maximum(na, nb))
+    pair = lambda x: (x >> U64(32)).astype(np.int64)
+    both = np.intersect1d(a[may[pair(a)]], b[may[pair(b)]], assume_unique=True)
+    common = np.bincount(pair(both), minlength=n)
     union = na + nb - common
     j = np.where(union > 0, common / np.maximum(union, 1), 1.0)
-    return np.where(np.minimum(na, nb) < least * np.maximum(na, nb), 0.0, j)
+    return np.where(may & (j >= least), j, 0.0)
 
 
-def jaccard(x: str, y: str, least: float = 0.0) -> float:
+def jaccard(x: str, y: str, least: float = LEAST) -> float:
     """The likeness of two fingerprints."""
     a, b = (np.frombuffer(base64.b64decode(f), "<u4").astype(U64) for f in (x, y))
     one = lambda v: np.array([len(v)])
@@ -106,64 +121,74 @@ def jaccard(x: str, y: str, least: float = 0.0) -> float:
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns, the fingerprint and its number of signatures."""
-    chosen = df.select(*keep, F.col(text).alias("__text"))
+    keep = without(keep, "fingerprint", "n_signatures")
+    own = spare(keep, "text")
+    chosen = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(own))
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(column(batch, "__text")):
+            for a, b in blocks(column(batch, own)):
                 part = batch.slice(a, b - a)
-                s = Sets.of(column(part, "__text"))
+                s = Sets.of(column(part, own))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s.fingerprints()), pa.array(s.sizes, pa.int64())], names=[*keep, "fingerprint", "n_signatures"])
 
-    kept = [f"`{n}` {t}" for n, t in df.select(*keep).dtypes]
-    return chosen.mapInArrow(run, ", ".join([*kept, "fingerprint string, n_signatures bigint"]))
+    return chosen.mapInArrow(run, typed(df, keep, "fingerprint string", "n_signatures bigint"))
 
 
 # Neighbours in descending order of doc_id
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(part, ctx, key, doc_id, text): rows dealt by ranges of descending keys, each range with the first row of the next one as ctx = 1.
+    """(part, ctx, place, check, doc_id, text): rows dealt by ranges of descending keys, each range with the first row of the next one as ctx = 1.
 
-    The limits come from a quantile sketch of the keys, at most one for each shuffle partition, so what the driver holds
-    doesn't grow with the table; texts are moved once.
+    `place` is the key, reversed; rows of one key follow by the hash of their text, `check`. The limits come from a quantile sketch of the places, at most one
+    for each shuffle partition, so what the driver holds doesn't grow with the table; where limits fall on one key, its rows are cut by equal parts of the
+    hash, so no key fills a task but by equal rows. Texts are moved once.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), "doc_id", "text")
-    limits = sorted(set(keyed.approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = np.array(limits, np.int64)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
+    keyed = docs.select(F.bitwise_not(key).alias("place"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"), "doc_id", "text")
+    sketch = keyed.approxQuantile("place", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    limits = np.array(sorted(min(int(x), (1 << 63) - 1) for x in sketch), np.int64)
 
-    def part_of(keys: np.ndarray) -> np.ndarray:
-        return (len(bounds) - np.searchsorted(bounds, keys, "left")).astype(np.int32)
+    def part_of(place: np.ndarray, check: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(limits, place, "left"), np.searchsorted(limits, place, "right")
+        share = (check.astype(np.float64) / 2.0**64 + 0.5).clip(0, 1 - 1e-12)
+        return (low + np.floor(share * (high - low)).astype(np.int64)).astype(np.int32)
 
     @F.pandas_udf("int")
-    def part(key):
-        import pandas as pd
+    def part(place: pd.Series, check: pd.Series) -> pd.Series:
+        return pd.Series(part_of(place.to_numpy(), check.to_numpy()))
 
-        return pd.Series(part_of(key.to_numpy()))
-
-    heads = {r.part: r.head for r in keyed.select("key").withColumn("part", part("key")).groupBy("part").agg(F.max("key").alias("head")).collect()}
+    first = F.min(F.struct("place", "check")).alias("head")
+    heads = {r.part: tuple(r.head) for r in keyed.select("place", "check").withColumn("part", part("place", "check")).groupBy("part").agg(first).collect()}
     filled = sorted(heads)
-    before = {heads[p]: filled[k - 1] for k, p in enumerate(filled)}
-    head_keys = np.array(sorted(before), np.int64)
-    to = np.array([before[k] for k in head_keys], np.int32)
+    before = {heads[p]: filled[k - 1] for k, p in enumerate(filled) if k}
+    if filled:
+        before[heads[filled[0]]] = filled[-1]
+    ordered = sorted(before)
+    head_place, head_check = (np.array([h[i] for h in ordered], np.int64) for i in (0, 1))
+    to = np.array([before[h] for h in ordered], np.int32)
 
     @F.pandas_udf("int")
-    def context(key):
-        import pandas as pd
-
-        if not len(head_keys):
-            return pd.Series(np.full(len(key), -1, np.int32))
-        at = np.minimum(np.searchsorted(head_keys, key.to_numpy()), len(head_keys) - 1)
-        return pd.Series(np.where(head_keys[at] == key.to_numpy(), to[at], -1).astype(np.int32))
-
-    own = F.struct(part("key").alias("part"), F.lit(0).alias("ctx"))
-    other = F.struct(context("key").alias("part"), F.lit(1).alias("ctx"))
+    def context(place: pd.Series, check: pd.Series) -> pd.Series:
+        out = np.full(len(place), -1, np.int32)
+        place, check = place.to_numpy(), check.to_numpy()
+        # heads of one place are as many as parts that its rows are cut into
+        low, high = np.searchsorted(head_place, place, "left"), np.searchsorted(head_place, place, "right")
+        for shift in range(int((high - low).max(initial=0))):
+            at = np.minimum(low + shift, max(0, len(ordered) - 1))
+            hit = (low + shift < high) & (head_check[at] == check)
+            out[hit] = to[at[hit]]
+        return pd.Series(out)
+
+    own = F.struct(part("place", "check").alias("part"), F.lit(0).alias("ctx"))
+    other = F.struct(context("place", "check").alias("part"), F.lit(1).alias("ctx"))
     rows = keyed.withColumn("own", own).withColumn("other", other)
-    rows = rows.select("key", "doc_id", "text", F.explode(F.when(F.col("other.part") >= 0, F.array("own", "other")).otherwise(F.array("own"))).alias("s"))
-    rows = rows.select("s.part", "s.ctx", "key", "doc_id", "text")
-    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "ctx", F.col("key").desc(), F.col("text").asc_nulls_first())
+    rows = rows.select("place", "check", "doc_id", "text", F.explode(F.when(F.col("other.part") >= 0, F.array("own", "other")).otherwise(F.array("own"))).alias("s"))
+    rows = rows.select("s.part", "s.ctx", "place", "check", "doc_id", "text")
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "ctx", "place", "check", F.col("text").asc_nulls_first())
 
 
 def edited(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -171,6 +196,7 @@ def edited(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
