@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.components import connected_components
-from assayer.llm.shared import checkpointed
+from assayer.llm.shared import checkpointed, spare, typed, without
 from assayer.llm.text import LOWER, SPACES, U64, blocks, column, gram_starts, raw, signed, words
 
 RADIUS = 3
@@ -99,14 +99,16 @@ def majority(h: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 def with_fingerprint(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "fp") -> DataFrame:
     """The `keep` columns and the fingerprint as a signed long."""
-    chosen = df.select(*keep, F.col(text).alias("__text"))
+    keep = without(keep, out)
+    own = spare(keep, "text")
+    chosen = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(own))
 
     def run(batches):
         for b in batches:
-            fp = pa.array(signed(fingerprints(column(b, "__text"))), pa.int64())
+            fp = pa.array(signed(fingerprints(column(b, own))), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*keep, out])
 
-    return chosen.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.select(*keep).dtypes), f"{out} bigint"]))
+    return chosen.mapInArrow(run, typed(df, keep, f"`{out}` bigint"))
 
 
 # The index over one group, or over many small groups at once
@@ -278,7 +280,7 @@ def links(nodes: DataFrame, most: int = _MOST) -> DataFrame:
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, root, component_id) of every row; root is the component's smallest fingerprint, component_id the smallest doc_id reachable over links."""
-    docs = checkpointed(with_fingerprint(df, text, (doc_id,)).withColumnRenamed(doc_id, "doc_id"))
+    docs = checkpointed(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ("doc_id",)))
     nodes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = connected_components(links(nodes.select("fp")))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))

@@ -131,7 +131,7 @@ def _keys(docs: DataFrame, window: int) -> DataFrame:
             zero = np.zeros(len(x.cuts) + len(x.bare), U64)
             yield _rows(ids, x.doc[at], np.concatenate([x.cut_keys, x.bare_keys, x.chunk_keys]), np.concatenate([zero, x.chunk_checks]))
 
-    return docs.where("doc is not null").mapInArrow(run, "k1 bigint, k2 bigint, doc bigint")
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, doc bigint")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -143,6 +143,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 def intervals(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, removed, kept_text) of every row; removed is an array of maximal (start, end) word intervals, end exclusive."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    # rows without an id lose nothing and take no part, so they aren't moved
+    nameless = docs.where("doc is null")
+    docs = docs.where("doc is not null")
     dealt = docs.repartition("doc")
     found = _shared(_keys(docs, window)).where("k2 = 0 or lo < doc")
     lists = found.groupBy("doc").agg(F.collect_list(F.when(F.col("k2") == 0, F.col("k1"))).alias("grams"), F.collect_list(F.when(F.col("k2") != 0, F.col("k1"))).alias("chunks"))
@@ -150,9 +153,8 @@ def intervals(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
 
     def count(batches):
         for part, x in _each_block(batches, window):
-            ids = np.asarray(column(part, "doc").fill_null(0))
+            ids = np.asarray(column(part, "doc"))
             _, wanted = x.open_windows(column(part, "grams"), column(part, "chunks"))
-            wanted &= np.asarray(column(part, "doc").is_valid())[x.doc[x.windows]]
             at = x.windows[wanted]
             yield _rows(ids, x.doc[at], x.grams.spans(at, at + window), x.second.spans(at, at + window))
 
@@ -168,8 +170,12 @@ def intervals(df: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
             gone[open_] = x.among(x.doc[at[open_]], x.grams.spans(at[open_], at[open_] + window), column(part, "windows"))
             yield _kept(column(part, "doc"), x.w, at[gone], window)
 
-    out = known.join(repeated, "doc", "left").mapInArrow(remove, "doc_id bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string")
-    return out
+    def whole(batches):
+        for part, x in _each_block(batches, window):
+            yield _kept(column(part, "doc"), x.w, np.zeros(0, np.int64), window)
+
+    schema = "doc_id bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string"
+    return known.join(repeated, "doc", "left").mapInArrow(remove, schema).unionByName(nameless.mapInArrow(whole, schema))
 
 
 def _kept(ids: pa.Array, w: Words, starts: np.ndarray, window: int) -> pa.RecordBatch:

@@ -14,7 +14,10 @@ refers_to, payload_digest, payload_bytes, http_status, payload, headers. Digests
 responses are taken from the payload when that is read.
 
 Defined cases: null payloads count as empty; a null url gives a record without target; null page ids stay null;
-repeated rows give a record each; an empty table gives an empty archive; line breaks in header values become spaces.
+repeated rows give a record each; an empty table gives an empty archive; line breaks in header values become spaces. A record that is cut short,
+or has no header block, length or number where one belongs, ends the read with a ValueError that names the file; with the option `malformed` set to
+`drop` the record is left out, and what follows a cut is not read. A record of 4 GB or more is written without the lengths of its member, which is
+then found by decompressing it.
 """
 
 from __future__ import annotations
@@ -55,6 +58,8 @@ _NUMBERS = {"page_id", "refers_to", "payload_bytes"}
 _FROM_BODY = {"payload", "http_status"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 20
+#: Members below this length tell it.
+_SIZED = 1 << 32
 _BATCH_ROWS, _BATCH_BYTES = 2000, 8 << 20
 
 
@@ -96,7 +101,10 @@ def member(data: bytes, level: int) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     size = 12 + 12 + len(body) + 8
-    return struct.pack("<4BI2BH2sHII", 31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if max(size, len(data)) >= _SIZED:
+        return struct.pack("<4BI2B", 31, 139, 8, 0, 0, 0, 255) + body + tail
+    return struct.pack("<4BI2BH2sHII", 31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(data)) + body + tail
 
 
 class _Input:
@@ -136,17 +144,40 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return out
 
 
+class Malformed(ValueError):
+    """Bytes that are no record."""
+
+
+def content_length(headers: dict[str, str]) -> int:
+    told = headers.get("content-length", "")
+    if not told.isdigit():
+        raise Malformed("a record without a content length")
+    return int(told)
+
+
+def _block(headers: dict[str, str], data: bytes, end: int) -> bytes:
+    size = content_length(headers)
+    if len(data) < end + 4 + size:
+        raise Malformed("a record that is cut short")
+    return data[end + 4 : end + 4 + size]
+
+
 def _plain_records(f: _Input, wanted, body: bool) -> Iterator[tuple[dict, bytes | None]]:
     while f.peek(1):
         n = 1 << 12
         while (end := (seen := f.peek(n)).find(b"\r\n\r\n")) < 0 and len(seen) == n:
             n *= 2
         if end < 0:
+            if seen.strip():
+                raise Malformed("a record without the end of its headers")
             return
         headers = parse_headers(f.take(end + 4)[:-4].lstrip(b"\r\n"))
-        size = int(headers["content-length"])
+        size = content_length(headers)
         if body and wanted(headers):
-            yield headers, f.take(size)
+            block = f.take(size)
+            if len(block) < size:
+                raise Malformed("a record that is cut short")
+            yield headers, block
         else:
             f.skip(size)
             if wanted(headers):
@@ -171,7 +202,9 @@ def _gzip_records(f: _Input, wanted, body: bool) -> Iterator[tuple[dict, bytes |
         for bit in (8, 16):  # a file name and a comment, each ended by a zero
             if flags & bit:
                 n = start + 256
-                while (end := f.peek(n).find(b"\0", start)) < 0:
+                while (end := (seen := f.peek(n)).find(b"\0", start)) < 0:
+                    if len(seen) < n:
+                        raise Malformed("a member without the end of its header")
                     n *= 2
                 start = end + 1
         start += 2 * bool(flags & 2)
@@ -183,6 +216,8 @@ def _gzip_records(f: _Input, wanted, body: bool) -> Iterator[tuple[dict, bytes |
         seen = unpack.decompress(data[start:], 2048)
         while (end := seen.find(b"\r\n\r\n")) < 0 and not unpack.eof and unpack.unconsumed_tail:
             seen += unpack.decompress(unpack.unconsumed_tail, 2048)
+        if end < 0:
+            raise Malformed("a member without the end of its headers")
         headers = parse_headers(seen[:end])
         if not wanted(headers):
             f.skip(size)
@@ -193,7 +228,7 @@ def _gzip_records(f: _Input, wanted, body: bool) -> Iterator[tuple[dict, bytes |
             whole = f.take(size)
             rest = unpack.unconsumed_tail + whole[len(data) : size]
             seen += unpack.decompress(rest)
-            yield headers, seen[end + 4 : end + 4 + int(headers["content-length"])]
+            yield headers, _block(headers, seen, end)
 
 
 def _unsized(f: _Input, start: int, wanted, body: bool) -> Iterator[tuple[dict, bytes | None]]:
@@ -201,13 +236,17 @@ def _unsized(f: _Input, start: int, wanted, body: bool) -> Iterator[tuple[dict,
     unpack, parts = zlib.decompressobj(-15), []
     while not unpack.eof and (chunk := f.take(1 << 16)):
         parts.append(unpack.decompress(chunk))
+    if not unpack.eof:
+        raise Malformed("a member that is cut short")
     f.at -= len(unpack.unused_data)
     f.skip(8)
     whole = b"".join(parts)
     end = whole.find(b"\r\n\r\n")
+    if end < 0:
+        raise Malformed("a member without the end of its headers")
     headers = parse_headers(whole[:end])
     if wanted(headers):
-        yield headers, whole[end + 4 : end + 4 + int(headers["content-length"])] if body else None
+        yield headers, _block(headers, whole, end) if body else None
 
 
 def records(file, wanted=lambda h: True, body: bool = True) -> Iterator[tuple[dict, bytes | None]]:
@@ -230,7 +269,11 @@ def header_value(headers: dict[str, str], name: str):
     value = headers.get(_FIELDS[name])
     if name == "payload_digest":
         return _hex(value)
-    return int(value) if name in _NUMBERS and value is not None else value
+    if name in _NUMBERS and value is not None:
+        if not value.lstrip("-").isdigit():
+            raise Malformed(f"a record whose {_FIELDS[name]} is no number")
+        return int(value)
+    return value
 
 
 @dataclass
@@ -247,6 +290,7 @@ class WarcReader(DataSourceReader):
         self.names = [f.name for f in schema.fields]
         self.schema, self.path = schema, options["path"]
         self.split = float(options.get("split_mb", 64)) * (1 << 20)
+        self.drop = options.get("malformed", "fail") == "drop"
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
@@ -298,8 +342,14 @@ class WarcReader(DataSourceReader):
         held = 0
         for path in partition.paths:
             with fs.open_input_file(path) as file:
-                for headers, block in records(file, self.wanted, body):
-                    for out, value in zip(rows, self.row(headers, block), strict=True):
+                for headers, block in self.sound(path, records(file, self.wanted, body)):
+                    try:
+                        values = self.row(headers, block)
+                    except Malformed as e:
+                        if self.drop:
+                            continue
+                        raise ValueError(f"{path}: {e}") from e
+                    for out, value in zip(rows, values, strict=True):
                         out.append(value)
                     held += len(block or b"")
                     if len(rows[0]) >= _BATCH_ROWS or held >= _BATCH_BYTES:
@@ -308,6 +358,14 @@ class WarcReader(DataSourceReader):
         if rows and rows[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, arrow, strict=True)], schema=arrow)
 
+    def sound(self, path: str, found):
+        """The records up to the first whose bytes can't be read."""
+        try:
+            yield from found
+        except (Malformed, zlib.error, struct.error) as e:
+            if not self.drop:
+                raise ValueError(f"{path}: {e}") from e
+
     def row(self, headers: dict[str, str], block: bytes | None) -> list:
         head, payload, status = b"", None, None
         if block is not None and headers.get("content-type", "").startswith("application/http"):

@@ -54,3 +54,29 @@ def test_stages_keep_columns_and_handle_odd_rows(spark, make, sf_dir):
     for _, stage in P.STAGES:
         nothing = stage(spark, nothing, sf_dir)
     assert nothing.count() == 0
+
+
+def test_clashing_columns_pass_through(spark, sf_dir):
+    """Columns called like those that the stages use inside keep their values; the last stage's own replace theirs."""
+    text = "the quick brown fox jumps over the lazy dog and runs away from it "
+    rows = [(5, text * 3, "en"), (3, text * 3, "en"), (3, text * 3, "en"), (4, "a story about a cat that sleeps all day long in the sun of the garden", "en")]
+    extra = ["__id", "__fp", "__own", "__n", "__k1", "__text", "text_", "decoded", "Ids", "n_tokens", "secrets", "fp", "root", "component_id", "score", "k1", "seeds", "kind"]
+    docs = spark.createDataFrame([(d, t, lang, None, len(t), *[f"{d}{c}" for c in extra]) for d, t, lang in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in extra))
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    got = {r.doc_id: r.asDict() for r in docs.collect()}
+    kept = [c for c in extra if c not in ("Ids", "n_tokens")]
+    assert sorted(got) == [3, 4] and all(r[c] == f"{d}{c}" for d, r in got.items() for c in kept)
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got.values()) and "Ids" not in docs.columns
+
+
+def test_a_session_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from assayer.llm import shared
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(far)

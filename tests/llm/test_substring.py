@@ -57,3 +57,11 @@ def test_query_matches_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = {(d, *x) for (d, _), x in zip(docs, brute.windows_removed(docs), strict=True)}
     assert {tuple(r) for r in queries.op7_substring(spark, sf_dir).collect()} == want
+
+
+def test_rows_without_an_id_stay_where_they_are(spark, make):
+    p = " ".join(f"p{i}" for i in range(60))
+    docs = [(None, p)] * 30 + [(1, p), (2, p), (None, None), (None, "")]
+    check(spark, make, docs)
+    plan = substring.intervals(make(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(doc_id" in plan.lower() and "isnotnull(doc_id" in plan.lower()

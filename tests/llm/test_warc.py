@@ -84,3 +84,36 @@ def test_other_archives_can_be_read(pack, body):
     assert [int(h["x-page-id"]) for h, _ in found] == [i for i in range(30) if i % 3]
     if body:
         assert all(b.partition(b"\r\n\r\n")[2] == b"p" * (int(h["x-page-id"]) * 7000) for h, b in found)
+
+
+def test_malformed_archives(spark, tmp_path):
+    good = [warc.record(i, f"http://x/{i}", b"p" * 500, "response", None, "00" * 20, "d") for i in range(3)]
+    short = good[0][:-200]
+    nameless = good[1].replace(b"Content-Length: 5", b"Kontent-Length: 5")
+    odd = good[1].replace(b"X-Page-Id: 1", b"X-Page-Id: one")
+    cases = {
+        "short.warc": (b"".join([*good, short]), 3), "short.warc.gz": (b"".join(gzip.compress(r) for r in good) + gzip.compress(short), 3), "cut.warc.gz": (b"".join(warc.member(r, 6) for r in good)[:-40], 2),
+        "headless.warc": (good[0] + b"junk without an end", 1), "nameless.warc": (good[0] + nameless, 1), "odd.warc.gz": (b"".join(warc.member(r, 6) for r in (good[0], odd, good[2])), 2), "noise.warc.gz": (b"\x1f\x8b" + b"noise" * 50, 0),
+    }
+    for name, (data, n) in cases.items():
+        (tmp_path / name).write_bytes(data)
+        path = f"file://{tmp_path}/{name}"
+        with pytest.raises(Exception, match=name):
+            warc.read(spark, path).collect()
+        assert warc.read(spark, path, malformed="drop").count() == n, name
+
+
+def test_members_too_long_for_their_length_field(monkeypatch):
+    monkeypatch.setattr(warc, "_SIZED", 300)
+    records = [warc.record(i, "u", bytes(range(256)) * (i * 3), "response", None, "00" * 20, "d") for i in range(4)]
+    data = b"".join(warc.member(r, 6) for r in records)
+    assert data[3] == 0 and len(list(warc.records(io.BytesIO(data)))) == 4
+
+
+def test_groups_beyond_the_broadcast_limit_are_joined(spark, monkeypatch):
+    pages = [(i, "u", "z" * 1000 + str(i % 4), 0) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, x int")
+    told = lambda: sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.planned(df).collect())
+    few = told()
+    monkeypatch.setattr(warc, "_BROADCAST_ROWS", 0)
+    assert told() == few and sum(r[1] == "response" for r in few) == 4
