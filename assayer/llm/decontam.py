@@ -40,6 +40,8 @@ COVERAGE = 0.8
 _FILTER_BITS = (16, 28)
 #: Items that a task tiles over one text, about.
 _PAIRS = 1000
+#: Texts with a leak (16 bytes each) up to which their keys are broadcast; beyond, documents are joined by key.
+_BROADCAST_ROWS = 1_000_000
 
 
 def read_words(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -390,4 +392,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_te
     a, b = (spare(docs.columns, n) for n in ("__k1", "__k2"))
     k1, k2 = text_keys(F.col(text))
     gone = found[2].select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    gone = F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone
     return docs.withColumn(a, k1).withColumn(b, k2).join(gone, [a, b], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

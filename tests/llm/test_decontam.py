@@ -56,7 +56,7 @@ def test_coverage_matches_naive_tiling(letters):
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 
-def test_reordered_passages_and_edges(spark, make):
+def test_reordered_passages_and_edges(spark, make, monkeypatch):
     w = ITEM.split()
     docs = make([(1, "x " + " ".join(w[10:]) + " mid " + " ".join(w[:10]).upper() + "!"), (2, " ".join(w[:12])), (3, None), (4, ""), (None, ITEM), (5, ITEM.replace(" ", ", ")), (5, ITEM)])
     docs = docs.withColumns({"k1": F.lit(1), "__k1": F.lit(2), "seeds": F.lit("s")})
@@ -65,6 +65,8 @@ def test_reordered_passages_and_edges(spark, make):
     assert got == [(0, 3, 3), (1, 3, 3), (5, 3, 3), (5, 3, 3)]
     kept = decontam.without_leaks(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+    monkeypatch.setattr(decontam, "_BROADCAST_ROWS", 0)
+    assert sorted(r.doc_id for r in decontam.without_leaks(docs, items).collect()) == [2, 3, 4]
     assert decontam.leaks(docs, items.where(F.lit(False))).count() == 0
     assert decontam.without_leaks(docs, items.where(F.lit(False))).count() == 7
     assert decontam.leaks(docs.where(F.lit(False)), items).count() == 0
