@@ -56,6 +56,7 @@ class Type:
     attributes: str
     methods: int = 0
     fields: list[tuple[str, str, str]] = field(default_factory=list)  # modifiers, type, name
+    props: list[tuple[str, str, str, str]] = field(default_factory=list)  # modifiers, type, name, accessors; of records also their parameters
 
 
 def tokens(text: str) -> list[Token]:
@@ -155,21 +156,44 @@ def _header(head: list[Token]) -> tuple[list[Token], str]:
     return head[at:], " ".join(attributes)
 
 
+def _parameters_at(head: list[Token]) -> int | None:
+    """Where a method's parameters open: the first parenthesis outside others that follows a name, or an operator; one that opens a tuple type doesn't."""
+    depth = angle = 0
+    operator = False
+    for k, t in enumerate(head):
+        if t.text == "(":
+            before = head[k - 1] if k else None
+            if not depth and not angle and before is not None and (operator or before.text == ">" or before.kind == "word" and before.text not in _MODIFIERS):
+                return k
+            depth += 1
+        elif t.text == ")":
+            depth -= 1
+        elif t.text in "<>" and not operator:
+            angle = max(0, angle + (1 if t.text == "<" else -1))
+        operator |= t.text == "operator"
+    return None
+
+
 def _method_head(head: list[Token]) -> tuple[str, list[str], str, list[str]] | None:
     """(name, modifiers, return type, parameters) if the header reads as a method."""
-    first = next((k for k, t in enumerate(head) if t.text == "("), None)
-    if not first or any(t.text in ("=", "=>") for t in head[:first]):
+    first = _parameters_at(head)
+    if first is None or any(t.text in ("=", "=>") for t in head[:first]) and "operator" not in (t.text for t in head[:first]):
         return None
     k = first - 1
-    if head[k].text == ">":  # generic method
+    sign = next((i for i, t in enumerate(head[:first]) if t.text == "operator"), None)
+    if sign is not None:
+        name, k = "operator " + "".join(t.text for t in head[sign + 1 : first]), sign
+    elif head[k].text == ">":  # generic method
         depth = 0
         while k >= 0:
             depth += (head[k].text == ">") - (head[k].text == "<")
             k -= 1
             if not depth:
                 break
-    if k < 0 or head[k].kind != "word" or head[k].text in _CONTROL:
+    if k < 0 or head[k].kind != "word" or sign is None and head[k].text in _CONTROL:
         return None
+    if sign is None:
+        name = head[k].text
     before = [t.text for t in head[:k]]
     if not before and head[k].text in _TYPE_WORDS:
         return None
@@ -179,12 +203,48 @@ def _method_head(head: list[Token]) -> tuple[str, list[str], str, list[str]] | N
         depth += (head[end].text == "(") - (head[end].text == ")")
         if not depth:
             break
-    return head[k].text, modifiers, "".join(x for x in before if x not in _MODIFIERS), _split_params(head[first + 1 : end])
+    return name, modifiers, "".join(x for x in before if x not in _MODIFIERS), _split_params(head[first + 1 : end])
+
+
+def _record(head: list[Token], attributes: str, end: int) -> Type | None:
+    """A type that is declared without a body."""
+    at = next((i for i, x in enumerate(head) if x.text in _TYPE_WORDS and i + 1 < len(head) and head[i + 1].kind == "word"), None)
+    if at is None or any(x.text in ("=", "(") for x in head[:at]):
+        return None
+    name_at = at + 1 + (head[at + 1].text in ("class", "struct"))
+    if name_at >= len(head):
+        return None
+    t = Type(head[at].text, head[name_at].text, [], [x.text for x in head[:at] if x.text in _MODIFIERS], head[0].line, end, "".join(x.text for x in head), attributes)
+    t.props = _positional(head[name_at + 1 :])
+    return t
+
+
+def _positional(tail: list[Token]) -> list[tuple[str, str, str, str]]:
+    """The properties that a record's parameters declare."""
+    if not tail or tail[0].text != "(":
+        return []
+    depth = 0
+    for end, t in enumerate(tail):
+        depth += (t.text == "(") - (t.text == ")")
+        if not depth:
+            break
+    out = []
+    for p in _split_params(tail[1:end]):
+        words = p.split(" = ")[0].split()
+        while words and words[0] == "[" and "]" in words:
+            words = words[words.index("]") + 1 :]
+        if len(words) >= 2:
+            out.append(("public", "".join(words[:-1]), words[-1], "init"))
+    return out
 
 
 def parse(text: str) -> tuple[list[Type], list[Method]]:
     """The types and methods of a file; nested types and local functions belong to the type around them."""
-    found = [t for t in tokens(text) if t.kind not in ("comment", "directive")]
+    return read(tokens(text), text)
+
+
+def read(all_tokens: list[Token], text: str) -> tuple[list[Type], list[Method]]:
+    found = [t for t in all_tokens if t.kind not in ("comment", "directive")]
     types: list[Type] = []
     methods: list[Method] = []
     stack: list[tuple[str, object, int]] = []  # kind, what, index of the brace
@@ -225,9 +285,16 @@ def parse(text: str) -> tuple[list[Type], list[Method]]:
                     stop = next((i for i, x in enumerate(tail) if x.text == "where"), len(tail))
                     bases = [b.replace(" ", "") for b in _split_params(tail[:stop])]
                 kind, what = "type", Type(head[type_at].text, head[name_at].text, bases, [w for w in words[:type_at] if w in _MODIFIERS], t.line if not head else head[0].line, 0, "", attributes)
+                if head[type_at].text == "record":
+                    what.props = _positional(head[name_at + 1 :])
             elif owner() is not None and not in_method() and (h := _method_head(head)):
                 kind, what = "method", Method(owner().name, h[0], h[1], h[2], h[3], head[0].line, 0, "", attributes)
                 owner().methods += 1
+            elif owner() is not None and stack and stack[-1][0] == "type" and len(head) >= 2 and "=" not in words and "(" not in words and words[0] not in _CONTROL:
+                own = [w for w in words if w in _MODIFIERS]
+                indexer = "this" in words
+                name = "this[]" if indexer else words[-1]
+                kind, what = "property", (" ".join(own), "".join(w for w in words[: words.index("this") if indexer else -1] if w not in _MODIFIERS), name)
             stack.append((kind, what, k))
             begin = k + 1
         elif t.text == "}":
@@ -236,11 +303,18 @@ def parse(text: str) -> tuple[list[Type], list[Method]]:
                 if kind in ("type", "method"):
                     what.end_line = line_end(t)
                     what.body = text[found[at].start : t.start + 1]
+                if kind == "property" and owner() is not None:
+                    inner = [x.text for x in found[at + 1 : k]]
+                    told = [f"{'private ' if i and inner[i - 1] in ('private', 'protected', 'internal') else ''}{x}" for i, x in enumerate(inner) if x in ("get", "set", "init")]
+                    owner().props.append((*what, " ".join(told) + (" body" if "{" in inner or "=>" in inner else "")))
                 if kind == "type":
                     types.append(what)
                 elif kind == "method":
                     finish(what, found[at + 1 : k])
             begin = k + 1
+        elif t.text == ";" and not in_method() and (not stack or stack[-1][0] in ("type", "namespace")) and (bare := _record(*_header(found[begin:k]), t.line)):
+            types.append(bare)
+            begin = k + 1
         elif t.text == ";" and owner() is not None and not in_method() and stack and stack[-1][0] == "type":
             head, attributes = _header(found[begin:k])
             arrow = next((i for i, x in enumerate(head) if x.text == "=>"), None)
@@ -254,6 +328,12 @@ def parse(text: str) -> tuple[list[Type], list[Method]]:
                     methods.append(m)
             elif head and not h:
                 words = [x.text for x in head]
+                if arrow is not None and arrow >= 2:
+                    words = words[:arrow]
+                    owner().props.append((" ".join(w for w in words if w in _MODIFIERS), "".join(w for w in words[:-1] if w not in _MODIFIERS), words[-1], "get body"))
+                    begin = k + 1
+                    k += 1
+                    continue
                 stop = words.index("=") if "=" in words else len(words)
                 if stop >= 2 and head[stop - 1].kind == "word":
                     own = [w for w in words[:stop] if w in _MODIFIERS]
@@ -272,3 +352,68 @@ def uses_of(found: list[Token]) -> dict[str, int]:
         if t.kind == "word":
             out[t.text] = out.get(t.text, 0) + 1
     return out
+
+
+def namespace_of(found: list[Token]) -> str:
+    """The first namespace that a file declares; empty if none."""
+    code = [t for t in found if t.kind not in ("comment", "directive")]
+    for k, t in enumerate(code):
+        if t.text == "namespace" and t.kind == "word":
+            out = []
+            for x in code[k + 1 :]:
+                if x.text in "{;":
+                    return "".join(out)
+                out.append(x.text)
+    return ""
+
+
+def usings_of(found: list[Token]) -> list[str]:
+    """The namespaces that a file imports at its head."""
+    code, out = [t for t in found if t.kind not in ("comment", "directive")], []
+    for k, t in enumerate(code):
+        if t.text == "using" and t.kind == "word" and (k == 0 or code[k - 1].text in ";{}"):
+            names = []
+            for x in code[k + 1 : k + 24]:
+                if x.text == ";":
+                    out.append("".join(names))
+                    break
+                if x.kind != "word" and x.text != ".":
+                    break
+                if x.text != "static":
+                    names.append(x.text)
+    return out
+
+
+def il_weight(body: str) -> int:
+    """A rough size of what a body compiles to, from its tokens: calls with their arguments, creations, literals, names, operators, branches, holes."""
+    found = [t for t in tokens(body) if t.kind not in ("comment", "directive")]
+    n = 0
+    for k, t in enumerate(found):
+        after = found[k + 1].text if k + 1 < len(found) else ""
+        if t.kind == "word":
+            n += {"new": 3, "if": 2, "case": 2, "return": 1, "throw": 1}.get(t.text, 0 if t.text in _CONTROL or t.text in _MODIFIERS else 1)
+            n += 2 if after == "(" and t.text not in _CONTROL else 0
+        elif t.kind == "string":
+            n += 1 + (3 * t.text.count("{") if t.text.startswith("$") else 0)
+        elif t.kind == "number":
+            n += 1
+        elif t.text in ("+", "-", "*", "/", "%", "=", "==", "!=", "<=", ">=", "&&", "||", "??", "+=", "++", "--", "!", ","):
+            n += 1
+        elif t.text in ("?", "["):
+            n += 2
+    return n
+
+
+def clone_stream(found: list[Token], methods: list[Method]) -> tuple[list[str], list[int]]:
+    """The tokens that stand in methods with a body, in order, and their lines; declarations of data aren't compared. Constructors that only assign are left out."""
+    spans = sorted({(m.line, m.end_line) for m in methods if m.body and not (m.name == m.type and not re.search(r"\b(if|for|foreach|while|switch|try)\b", m.body))})
+    out, lines, k = [], [], 0
+    for t in found:
+        if t.kind in ("comment", "directive"):
+            continue
+        while k < len(spans) and spans[k][1] < t.line:
+            k += 1
+        if k < len(spans) and spans[k][0] <= t.line:
+            out.append(t.text)
+            lines.append(t.line)
+    return out, lines

@@ -13,11 +13,18 @@ except ImportError:  # a checkout without the parser measures everything but YAM
 EXCLUDED_DIRS = (".git", "bin", "obj", "node_modules", ".vs", "packages", "dist", "vendor")
 
 
+#: Text functions that a condition may call on a property.
+_CALLS = {"contains": lambda a, b: b in a, "startswith": str.startswith, "endswith": str.endswith, "equals": str.__eq__}
+_WORD = re.compile(r"""'(?:\$\([^()]*(?:\([^()]*\)[^()]*)*\)|[^'$]|\$(?!\())*'|\$\([^()]*(?:\([^()]*\)[^()]*)*\)|==|!=|\(|\)|!|[\w.]+|\s+|.""")
+
+
 class _Conditions:
-    """or / and / not / == / != / parentheses over quoted texts and properties; what can't be read is false."""
+    """or / and / not / == / != / parentheses over texts, properties and text functions on properties; what can't be read is false."""
 
     def __init__(self, text: str, properties: dict[str, str]):
-        self.words = re.findall(r"'[^']*'|==|!=|\(|\)|!|[A-Za-z]+", text)
+        self.words = [w for w in _WORD.findall(text) if not w.isspace()]
+        if any(not re.match(r"['$\w]|==|!=|!|\(|\)", w) or w in ("$", "'") for w in self.words):
+            raise ValueError
         self.properties = {k.lower(): v for k, v in properties.items()}
         self.at = 0
 
@@ -59,29 +66,52 @@ class _Conditions:
         return left.lower() == "true"
 
     def operand(self) -> str:
-        return re.sub(r"\$\(([^)]*)\)", lambda m: self.properties.get(m[1].lower(), ""), self.take().strip("'"))
+        word = self.take()
+        if word in ("(", ")", "==", "!=", "!"):
+            raise ValueError
+        return re.sub(r"\$\(([^()]*(?:\([^()]*\))?)\)", self.told, word[1:-1] if word[0] == "'" else word)
+
+    def told(self, m: re.Match) -> str:
+        if call := re.fullmatch(r"\s*(\w+)\.(\w+)\(\s*'?([^']*)'?\s*\)\s*", m[1]):
+            name, function, given = call.groups()
+            if function.lower() not in _CALLS:
+                raise ValueError
+            return str(_CALLS[function.lower()](self.properties.get(name.lower(), ""), given))
+        return self.properties.get(m[1].strip().lower(), "")
 
 
 def condition(text: str | None, properties: dict[str, str]) -> bool:
     if not text or not text.strip():
         return True
-    c = _Conditions(text, properties)
     try:
+        c = _Conditions(text, properties)
         return c.any() and c.at == len(c.words)
     except (IndexError, ValueError):
         return False
 
 
-def project(path: str, text: str, central: dict[str, str] | None = None) -> dict | None:
-    """What a project file says; null if it is no XML. The last property that isn't empty wins, the first package of an id."""
+def central_versions(text: str) -> dict[str, str]:
+    """Package versions that a central file of packages states, by lower-case id."""
+    return {m[1].lower(): m[2] for m in re.finditer(r'<PackageVersion\b[^>]*?\bInclude="([^"]+)"[^>]*?\bVersion="([^"]+)"', text)}
+
+
+def project(path: str, text: str, central: dict[str, str] | None = None, props: str | None = None) -> dict | None:
+    """What a project file says; null if it is no XML. The last property that isn't empty wins, the first package of an id. `props` is a file of properties
+    that is read before it."""
     try:
         root = ET.fromstring(re.sub(r'\sxmlns="[^"]*"', "", text, count=1))
     except ET.ParseError:
         return None
-    properties: dict[str, str] = {}
+    properties: dict[str, str] = {"MSBuildProjectName": re.sub(r"\.[a-z]+proj$", "", path.rpartition("/")[2])}
+    before = []
+    if props:
+        try:
+            before = list(ET.fromstring(re.sub(r'\sxmlns="[^"]*"', "", props, count=1)))
+        except ET.ParseError:
+            before = []
     packages: dict[str, tuple[str, str | None]] = {}
     references = []
-    for group in root:
+    for group in [*before, *root]:
         if not condition(group.get("Condition"), properties):
             continue
         for item in group:
@@ -99,7 +129,7 @@ def project(path: str, text: str, central: dict[str, str] | None = None) -> dict
     return {
         "path": path, "name": name, "dir": path.rpartition("/")[0], "sdk": sdk, "tfms": [x for x in re.split("[;,]", properties.get("TargetFrameworks") or properties.get("TargetFramework") or "") if x],
         "output_type": properties.get("OutputType"), "nullable": (properties.get("Nullable") or "").lower() in ("enable", "annotations"), "is_packable": properties.get("IsPackable", "").lower() == "true" or "PackageId" in properties,
-        "version": properties.get("Version"), "role": role(name, sdk, properties, list(packages)), "packages": list(packages.values()), "references": references,
+        "version": properties.get("Version") or properties.get("VersionPrefix"), "locks": properties.get("RestorePackagesWithLockFile", "").lower() == "true", "locked_mode": properties.get("RestoreLockedMode", "").lower() == "true", "role": role(name, sdk, properties, list(packages)), "packages": list(packages.values()), "references": references,
     }
 
 

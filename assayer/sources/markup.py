@@ -56,6 +56,7 @@ class _Reader(HTMLParser):
 def strip_razor(text: str) -> str:
     """Razor taken out of markup, line by line: code blocks, directives and comments go, expressions become a word; no line is lost."""
     blank = lambda s: re.sub(r"[^\n]", "", s)
+    text = text.replace("@@", "\0")  # an escaped sign
     text = re.sub(r"@\*.*?\*@", lambda m: blank(m[0]), text, flags=re.S)
     out, at = [], 0
     for m in re.finditer(r"@(code|functions|section\s+\w+)?\s*\{", text):
@@ -70,7 +71,8 @@ def strip_razor(text: str) -> str:
     text = "".join([*out, text[at:]])
     text = re.sub(r"(?m)^\s*@(page|using|inject|model|layout|inherits|attribute|namespace|implements|typeparam)\b[^\n]*", "", text)
     text = re.sub(r"(?m)^(\s*)@(if|else|foreach|for|while|switch)\b[^\n{]*\{?", r"\1", text)
-    return re.sub(r"@\(?[A-Za-z_][\w.]*(\([^()\n]*\))?\)?", "expression", text)
+    text = re.sub(r"(?m)^([ \t]*)\}([ \t]*else\b[^\n{]*)?\{?[ \t]*$", r"\1", text)
+    return re.sub(r"@\(?[A-Za-z_][\w.]*(\([^()\n]*\))?\)?", "expression", text).replace("\0", "@")
 
 
 def elements(html: str) -> list[Element]:

@@ -46,34 +46,37 @@ def _kernel(rows: DataFrame, fn, schema: str, arrow: pa.Schema) -> DataFrame:
     return rows.select("path", "text").mapInArrow(run, schema)
 
 
-_TYPE = "struct<kind:string,name:string,bases:array<string>,modifiers:array<string>,line:int,end_line:int,body:string,attributes:string,methods:int,fields:array<struct<modifiers:string,type:string,name:string>>>"
-_METHOD = "struct<type:string,name:string,modifiers:array<string>,returns:string,params:array<string>,line:int,end_line:int,body:string,attributes:string,cyclomatic:int,cognitive:int,statements:int>"
+_TYPE = "struct<kind:string,name:string,bases:array<string>,modifiers:array<string>,line:int,end_line:int,body:string,attributes:string,methods:int,fields:array<struct<modifiers:string,type:string,name:string>>,props:array<struct<modifiers:string,type:string,name:string,accessors:string>>>"
+_METHOD = "struct<type:string,name:string,modifiers:array<string>,returns:string,params:array<string>,line:int,end_line:int,body:string,attributes:string,cyclomatic:int,cognitive:int,statements:int,il:int>"
 _strings = pa.list_(pa.string())
 _ARROW_TYPE = pa.struct(
     [("kind", pa.string()), ("name", pa.string()), ("bases", _strings), ("modifiers", _strings), ("line", pa.int32()), ("end_line", pa.int32()), ("body", pa.string()), ("attributes", pa.string()), ("methods", pa.int32()),
-     ("fields", pa.list_(pa.struct([("modifiers", pa.string()), ("type", pa.string()), ("name", pa.string())])))]
+     ("fields", pa.list_(pa.struct([("modifiers", pa.string()), ("type", pa.string()), ("name", pa.string())]))), ("props", pa.list_(pa.struct([("modifiers", pa.string()), ("type", pa.string()), ("name", pa.string()), ("accessors", pa.string())])))]
 )
 _ARROW_METHOD = pa.struct(
     [("type", pa.string()), ("name", pa.string()), ("modifiers", _strings), ("returns", pa.string()), ("params", _strings), ("line", pa.int32()), ("end_line", pa.int32()), ("body", pa.string()), ("attributes", pa.string()),
-     ("cyclomatic", pa.int32()), ("cognitive", pa.int32()), ("statements", pa.int32())]
+     ("cyclomatic", pa.int32()), ("cognitive", pa.int32()), ("statements", pa.int32()), ("il", pa.int32())]
 )
-_CODE = pa.schema([("path", pa.string()), ("loc", pa.int32()), ("types", pa.list_(_ARROW_TYPE)), ("methods", pa.list_(_ARROW_METHOD)), ("comments", pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string())]))), ("words", pa.map_(pa.string(), pa.int32()))])
+_CODE = pa.schema([("path", pa.string()), ("loc", pa.int32()), ("types", pa.list_(_ARROW_TYPE)), ("methods", pa.list_(_ARROW_METHOD)), ("comments", pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string())]))), ("words", pa.map_(pa.string(), pa.int32())), ("namespace", pa.string()), ("usings", _strings), ("stream", _strings), ("stream_lines", pa.list_(pa.int32()))])
 
 
 def _code(path: str, text: str) -> list[dict]:
-    types, methods = csharp.parse(text)
     found = csharp.tokens(text)
+    types, methods = csharp.read(found, text)
+    stream, lines = csharp.clone_stream(found, methods)
     fields = lambda t: [{"modifiers": m, "type": k, "name": n} for m, k, n in t.fields]
+    props = lambda t: [{"modifiers": m, "type": k, "name": n, "accessors": a} for m, k, n, a in t.props]
     return [{
-        "path": path, "loc": csharp.code_lines(found), "types": [{**vars(t), "fields": fields(t)} for t in types], "methods": [vars(m) for m in methods],
+        "path": path, "loc": csharp.code_lines(found), "types": [{**vars(t), "fields": fields(t), "props": props(t)} for t in types], "methods": [{**vars(m), "il": csharp.il_weight(m.body)} for m in methods],
         "comments": [{"line": t.line, "text": t.text} for t in found if t.kind == "comment"], "words": list(csharp.uses_of(found).items()),
+        "namespace": csharp.namespace_of(found), "usings": csharp.usings_of(found), "stream": stream, "stream_lines": lines,
     }]
 
 
 def code(sources: DataFrame) -> DataFrame:
     """One row for each C# file: path, loc, types, methods, comments, words. Explode what a rule needs."""
     cs = sources.where(F.col("path").rlike(r"\.cs$") & ~F.col("is_generated"))
-    parsed = _kernel(cs, _code, f"path string, loc int, types array<{_TYPE}>, methods array<{_METHOD}>, comments array<struct<line:int,text:string>>, words map<string,int>", _CODE)
+    parsed = _kernel(cs, _code, f"path string, loc int, types array<{_TYPE}>, methods array<{_METHOD}>, comments array<struct<line:int,text:string>>, words map<string,int>, namespace string, usings array<string>, stream array<string>, stream_lines array<int>", _CODE)
     return parsed.join(cs.select("path", "is_test"), "path")
 
 
@@ -82,11 +85,15 @@ def exploded(parsed: DataFrame, column: str) -> DataFrame:
 
 
 def projects(sources: DataFrame) -> DataFrame:
-    schema = "path string, name string, dir string, sdk string, tfms array<string>, output_type string, nullable boolean, is_packable boolean, version string, role string, packages array<struct<id:string,version:string>>, references array<string>"
-    arrow = pa.schema([("path", pa.string()), ("name", pa.string()), ("dir", pa.string()), ("sdk", pa.string()), ("tfms", _strings), ("output_type", pa.string()), ("nullable", pa.bool_()), ("is_packable", pa.bool_()), ("version", pa.string()), ("role", pa.string()), ("packages", pa.list_(pa.struct([("id", pa.string()), ("version", pa.string())]))), ("references", _strings)])
+    """One row for each project file. Properties and package versions that the repository states centrally, at its root, are read before each."""
+    central = sources.where(F.lower("path").isin("directory.build.props", "directory.packages.props")).select(F.lower("path").alias("path"), "text").collect()
+    stated = {r.path: r.text for r in central}
+    versions, props = manifests.central_versions(stated.get("directory.packages.props", "")), stated.get("directory.build.props")
+    schema = "path string, name string, dir string, sdk string, tfms array<string>, output_type string, nullable boolean, is_packable boolean, version string, locks boolean, locked_mode boolean, role string, packages array<struct<id:string,version:string>>, references array<string>"
+    arrow = pa.schema([("path", pa.string()), ("name", pa.string()), ("dir", pa.string()), ("sdk", pa.string()), ("tfms", _strings), ("output_type", pa.string()), ("nullable", pa.bool_()), ("is_packable", pa.bool_()), ("version", pa.string()), ("locks", pa.bool_()), ("locked_mode", pa.bool_()), ("role", pa.string()), ("packages", pa.list_(pa.struct([("id", pa.string()), ("version", pa.string())]))), ("references", _strings)])
 
     def read(path: str, text: str) -> list[dict]:
-        p = manifests.project(path, text)
+        p = manifests.project(path, text, versions, props)
         return [{**p, "packages": [{"id": i, "version": v} for i, v in p["packages"]]}] if p else []
 
     return _kernel(sources.where(F.col("path").rlike(r"\.[a-z]+proj$")), read, schema, arrow)

@@ -118,3 +118,46 @@ def test_history_of_a_checkout(spark):
 
     rows = S.tables.git_history(spark, str(Path(__file__).resolve().parents[1]))
     assert rows.where(F.col("path") == "README.md").count() >= 0
+
+
+def test_csharp_declarations():
+    text = """namespace N.M;
+using System.Text;
+using static System.Math;
+public record Bare(int P, string? Q = null);
+public class A<T> : B
+{
+    public (int a, string b) Pair(int x) { return (x, "y"); }
+    public static A<T> operator +(A<T> l, A<T> r) { return l; }
+    public static implicit operator int(A<T> a) => 1;
+    public T this[int i] { get { return _t[i]; } }
+    public int Count { get; private set; }
+    public int Sum => Count + 1;
+    string S => $"{Count}";
+    record Inner(int K);
+    public IEnumerable<(int, int)> Pairs(List<int> xs) { yield break; }
+}
+"""
+    types, methods = csharp.parse(text)
+    assert [t.name for t in types] == ["Bare", "Inner", "A"] and [p[2] for p in types[0].props] == ["P", "Q"] and types[1].props[0][1:3] == ("int", "K")
+    assert [m.name for m in methods] == ["Pair", "operator +", "operator int", "Pairs"] and methods[0].returns == "(inta,stringb)"
+    assert [(p[2], p[3]) for p in types[2].props] == [("this[]", "get body"), ("Count", "get private set"), ("Sum", "get body"), ("S", "get body")]
+    found = csharp.tokens(text)
+    assert csharp.namespace_of(found) == "N.M" and csharp.usings_of(found) == ["System.Text", "System.Math"]
+
+
+def test_conditions_that_call_or_cant_be_read():
+    p = {"MSBuildProjectName": "Shop.Tests", "N": "5"}
+    cases = {
+        "$(MSBuildProjectName.Contains('Tests')) == 'True'": True, "'$(MSBuildProjectName.EndsWith('Tests'))' == 'true' and '$(N)' != ''": True, "$(MSBuildProjectName.Contains('Web'))": False, "true > 5": False,
+        "'$(N)' == 5": True, "$(N.Foo('x')) == 'x'": False, "'a' == 'a' junk": False, "true": True,
+    }
+    assert {c: manifests.condition(c, p) for c in cases} == cases
+    props = '<Project><PropertyGroup Condition="$(MSBuildProjectName.EndsWith(\'.Tests\'))"><IsTestProject>true</IsTestProject></PropertyGroup></Project>'
+    one = manifests.project("t/Shop.Checks.Tests.csproj", "<Project><ItemGroup><PackageReference Include='P' /></ItemGroup></Project>", {"p": "1.2.3"}, props)
+    assert one["role"] == "Test" and one["packages"] == [("P", "1.2.3")]
+
+
+def test_razor_signs_and_control_flow():
+    bare = markup.strip_razor("@if (x)\n{\n<p>a@@b.c</p>\n}\nelse\n{\n<b>y</b>\n}\n")
+    assert "a@b.c" in bare and "}" not in bare and [e.tag for e in markup.elements(bare)] == ["p", "b"]
