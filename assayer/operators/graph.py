@@ -5,6 +5,8 @@ Iterations are driver loops over DataFrames; each round joins only what is new,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,43 +43,41 @@ def main_sequence(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("distance", F.abs(F.col("abstractness") + F.col("instability") - 1))
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) of every pair joined by a path; doubling, so rounds grow with the logarithm of the longest path.
 
     The result itself grows with the pairs that it names; for reachability from given nodes use `reachable`.
     """
     known = checkpointed(edges.select("src", "dst").dropna().distinct())
     size = known.count()
-    for _ in range(rounds):
+    while True:
         longer = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         known = checkpointed(known.unionByName(longer).distinct())
         now = known.count()
         if now == size:
             return known
         size = now
-    raise RuntimeError("the closure did not settle")
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, hops) of every node reached from the start nodes, breadth first; only the frontier is joined."""
     e = edges.select("src", "dst").dropna().distinct()
     seen = checkpointed(start.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
-    for hop in range(1, rounds):
+    for hop in count(1):
         step = frontier.join(e, frontier.node == e.src).select(F.col("dst").alias("node")).distinct()
         frontier = checkpointed(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
             return seen
         seen = checkpointed(seen.unionByName(frontier))
-    raise RuntimeError("reachability did not settle")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph; the component is its smallest node. Smallest neighbour, then the label's label."""
     e = edges.select("src", "dst").dropna()
     both = checkpointed(e.union(e.select("dst", "src")).toDF("x", "y").distinct())
     labels = checkpointed(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "m").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
@@ -86,16 +86,49 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         labels = after.select("node", F.col("now").alias("component"))
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of the cycles: sets of nodes that all reach each other, larger than one. Meant for module graphs, whose closure is small."""
-    c = closure(clean(edges))
-    mutual = c.alias("a").join(c.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select("a.src", "a.dst")
-    own = mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
-    sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return own.join(sizes, "component").select("node", "component", "size")
+    """(node, component, size) of the cycles: sets of nodes that all reach each other, larger than one; the component is its smallest node.
+
+    Nodes without an edge in or out are trimmed until none is left; each node then takes the smallest node that reaches it (its colour), and what reaches
+    that node backwards within its colour is its component. Those leave, and the rest goes on. Work grows with edges and rounds, never with pairs of nodes.
+    """
+    e = checkpointed(clean(edges))
+    found = None
+    while True:
+        while True:  # trim
+            size = e.count()
+            e = checkpointed(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            if e.count() == size:
+                break
+        if not size:
+            break
+        colours = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            near = e.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("m"))
+            after = checkpointed(colours.join(near, "node", "left").select("node", F.least("colour", "m").alias("colour"), (F.col("m") < F.col("colour")).alias("moved")))
+            moved = after.where("moved").limit(1).count()
+            colours = after.select("node", "colour")
+            if not moved:
+                break
+        a, b = colours.toDF("src", "a"), colours.toDF("dst", "b")
+        within = checkpointed(e.join(a, "src").join(b, "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")))
+        own = frontier = checkpointed(colours.where("node = colour"))
+        while True:
+            step = within.join(frontier.withColumnRenamed("node", "dst"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            frontier = checkpointed(step.join(own, ["node", "colour"], "left_anti"))
+            if not frontier.limit(1).count():
+                break
+            own = checkpointed(own.unionByName(frontier))
+        found = own if found is None else checkpointed(found.unionByName(own))
+        gone = own.select("node")
+        e = checkpointed(e.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        kind = edges.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}, size bigint")
+    sizes = found.groupBy("colour").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return found.join(sizes, "colour").select("node", F.col("colour").alias("component"), "size")
 
 
 def two_cycles(edges: DataFrame) -> DataFrame:

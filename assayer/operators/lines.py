@@ -18,13 +18,13 @@ def islands(rows: DataFrame, key: str, position: str, flag: Column) -> DataFrame
     return runs.groupBy(key, "__g").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count(F.lit(1)).alias("n")).drop("__g")
 
 
-def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
-    """(keys, start, end, n) of intervals joined where at most `gap` lies between them."""
+def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, *more: Column) -> DataFrame:
+    """(keys, start, end, n, more aggregates) of intervals joined where at most `gap` lies between them."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = rows.withColumn("__new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
     grouped = flagged.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("__g")
+    return grouped.groupBy(*keys, "__g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"), *more).drop("__g")
 
 
 def context(rows: DataFrame, key: str, position: str, flag: Column, before: int, after: int) -> Column:

@@ -74,20 +74,20 @@ def _(spark, sf_dir):
     return history.change_coupling(rows, support=2, confidence=0.05).withColumn("confidence", F.round("confidence", 6))
 
 
-# Graphs: a supplier's nation depends on a customer's nation that takes more than its even share of the deliveries.
+# Graphs: a supplier's nation depends on the customers' nations that take most of its deliveries, so the graph has as many edges at every scale.
 
 
-def trade(spark: SparkSession, sf_dir: str, share: float = 0.045) -> DataFrame:
+def trade(spark: SparkSession, sf_dir: str, partners: int = 3) -> DataFrame:
     t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier")}
     rows = t["lineitem"].select("l_orderkey", "l_suppkey").join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     n = rows.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("src"))
-    return n.withColumn("share", F.col("n") / total).where(F.col("share") >= share).select("src", "dst")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= partners).select("src", "dst")
 
 
 _TRADE = """t AS (SELECT s_nationkey src, c_nationkey dst, count(*) n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-e0 AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) share FROM t), e AS (SELECT DISTINCT src, dst FROM e0 WHERE share >= {share} AND src <> dst)"""
+e0 AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) r FROM t), e AS (SELECT DISTINCT src, dst FROM e0 WHERE r <= {partners} AND src <> dst)"""
 _DEG = "deg AS (SELECT n_nationkey node, (SELECT count(*) FROM e WHERE dst = n_nationkey) ca, (SELECT count(*) FROM e WHERE src = n_nationkey) ce FROM nation), m AS (SELECT node, ca, ce, CASE WHEN ca + ce = 0 THEN 1.0 ELSE ce / (ca + ce) END i FROM deg)"
 
 
@@ -95,14 +95,14 @@ def _nations(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
 
 
-@query("fan_in_out_instability", f"WITH {_TRADE.format(share=0.045)}, {_DEG} SELECT node, ca, ce, round(i, 6) instability FROM m")
+@query("fan_in_out_instability", f"WITH {_TRADE.format(partners=3)}, {_DEG} SELECT node, ca, ce, round(i, 6) instability FROM m")
 def _(spark, sf_dir):
     return graph.instability(trade(spark, sf_dir), _nations(spark, sf_dir)).withColumn("instability", F.round("instability", 6))
 
 
 @query(
     "unstable_dependency",
-    f"WITH {_TRADE.format(share=0.045)}, {_DEG}, x AS (SELECT m.*, n_regionkey / 8.0 a FROM m JOIN nation ON node = n_nationkey) SELECT src, dst FROM e JOIN x s ON s.node = src JOIN x d ON d.node = dst WHERE d.i > s.i + 0.3 AND d.a < 0.5 AND s.ca >= 1",
+    f"WITH {_TRADE.format(partners=3)}, {_DEG}, x AS (SELECT m.*, n_regionkey / 8.0 a FROM m JOIN nation ON node = n_nationkey) SELECT src, dst FROM e JOIN x s ON s.node = src JOIN x d ON d.node = dst WHERE d.i > s.i + 0.3 AND d.a < 0.5 AND s.ca >= 1",
 )
 def _(spark, sf_dir):
     edges = trade(spark, sf_dir)
@@ -110,7 +110,7 @@ def _(spark, sf_dir):
     return graph.unstable_dependencies(edges, graph.instability(edges, _nations(spark, sf_dir)).join(abstract, "node")).select("src", "dst")
 
 
-@query("off_main_sequence", f"WITH {_TRADE.format(share=0.045)}, {_DEG} SELECT node, round(abs(n_regionkey / 8.0 + i - 1), 6) distance FROM m JOIN nation ON node = n_nationkey")
+@query("off_main_sequence", f"WITH {_TRADE.format(partners=3)}, {_DEG} SELECT node, round(abs(n_regionkey / 8.0 + i - 1), 6) distance FROM m JOIN nation ON node = n_nationkey")
 def _(spark, sf_dir):
     abstract = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), (F.col("n_regionkey") / 8.0).alias("abstractness"))
     return graph.main_sequence(graph.instability(trade(spark, sf_dir), _nations(spark, sf_dir)).join(abstract, "node")).select("node", F.round("distance", 6).alias("distance"))
@@ -119,29 +119,29 @@ def _(spark, sf_dir):
 _CLOSURE = "RECURSIVE {t}, cl(src, dst) AS (SELECT src, dst FROM e UNION SELECT cl.src, e.dst FROM cl JOIN e ON cl.dst = e.src)"
 
 
-@query("transitive_closure", f"WITH {_CLOSURE.format(t=_TRADE.format(share=0.05))} SELECT src, dst FROM cl")
+@query("transitive_closure", f"WITH {_CLOSURE.format(t=_TRADE.format(partners=2))} SELECT src, dst FROM cl")
 def _(spark, sf_dir):
-    return graph.closure(graph.clean(trade(spark, sf_dir, 0.05)))
+    return graph.closure(graph.clean(trade(spark, sf_dir, 2)))
 
 
 @query(
     "scc_components",
-    f"WITH {_CLOSURE.format(t=_TRADE.format(share=0.05))}, s AS (SELECT a.src node, least(a.src, min(a.dst)) component FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), z AS (SELECT component, count(*) size FROM s GROUP BY 1 HAVING count(*) > 1) SELECT node, component, size FROM s JOIN z USING (component)",
+    f"WITH {_CLOSURE.format(t=_TRADE.format(partners=2))}, s AS (SELECT a.src node, least(a.src, min(a.dst)) component FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), z AS (SELECT component, count(*) size FROM s GROUP BY 1 HAVING count(*) > 1) SELECT node, component, size FROM s JOIN z USING (component)",
 )
 def _(spark, sf_dir):
-    return graph.strong_components(trade(spark, sf_dir, 0.05))
+    return graph.strong_components(trade(spark, sf_dir, 2))
 
 
 @query(
     "test_reachability",
-    f"WITH RECURSIVE {_TRADE.format(share=0.05)}, r(node, hops) AS (SELECT n_nationkey, 0 FROM nation WHERE n_regionkey = 0 UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON r.node = e.src WHERE r.hops < 30) SELECT node, min(hops)::INT hops FROM r GROUP BY 1",
+    f"WITH RECURSIVE {_TRADE.format(partners=2)}, r(node, hops) AS (SELECT n_nationkey, 0 FROM nation WHERE n_regionkey = 0 UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON r.node = e.src WHERE r.hops < 30) SELECT node, min(hops)::INT hops FROM r GROUP BY 1",
 )
 def _(spark, sf_dir):
     start = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("node"))
-    return graph.reachable(graph.clean(trade(spark, sf_dir, 0.05)), start)
+    return graph.reachable(graph.clean(trade(spark, sf_dir, 2)), start)
 
 
-@query("namespace_two_cycles", f"WITH {_TRADE.format(share=0.045)} SELECT x.src a, x.dst b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
+@query("namespace_two_cycles", f"WITH {_TRADE.format(partners=3)} SELECT x.src a, x.dst b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
 def _(spark, sf_dir):
     return graph.two_cycles(trade(spark, sf_dir))
 
@@ -203,7 +203,7 @@ def _(spark, sf_dir):
 
 @query(
     "layer_violations",
-    f"WITH {_TRADE.format(share=0.045)} SELECT src, dst FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey < b.n_regionkey AND a.n_regionkey <> 4",
+    f"WITH {_TRADE.format(partners=3)} SELECT src, dst FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey < b.n_regionkey AND a.n_regionkey <> 4",
 )
 def _(spark, sf_dir):
     ranks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("rank"), (F.col("n_regionkey") == 4).alias("exempt"))

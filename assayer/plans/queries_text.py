@@ -32,39 +32,42 @@ def _tokens(spark, sf_dir):
 
 
 _TOKENS = "t AS (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \n\t]+') if x <> ''] w FROM documents)"
-_WINDOWS = f"{_TOKENS}, p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 39)) pos FROM t WHERE len(w) >= 40), win AS (SELECT doc_id, pos, hash(array_to_string(w[pos:pos + 39], ' ')) h, array_to_string(w[pos:pos + 4], ' ') g FROM p)"
-_REP = f"{_WINDOWS}, f AS (SELECT h, g, count(*) places, min((doc_id, pos)) f FROM win GROUP BY 1, 2 HAVING count(*) > 1), rep AS (SELECT doc_id, pos, f[1] fk, f[2] fp, places FROM win JOIN f USING (h, g))"
+#: A window of 70 tokens repeats if another text holds it, or its own text does 70 tokens away.
+_REP = f"""{_TOKENS}, p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 69)) pos FROM t WHERE len(w) >= 70),
+win AS (SELECT doc_id, pos, hash(array_to_string(w[pos:pos + 69], ' ')) h, array_to_string(w[pos:pos + 2], ' ') g FROM p),
+d AS (SELECT h, g, doc_id, min(pos) a, max(pos) b, count(*) n FROM win GROUP BY ALL), f AS (SELECT h, g, count(*) texts, sum(n) places FROM d GROUP BY ALL),
+rep AS (SELECT doc_id, pos, places::BIGINT places FROM win JOIN f USING (h, g) JOIN d USING (h, g, doc_id) WHERE texts > 1 OR pos - a >= 70 OR b - pos >= 70),
+gaps AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 70 THEN 0 ELSE 1 END fresh FROM rep),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) run FROM gaps),
+regions AS (SELECT doc_id, min(pos) AS start, max(pos) + 69 AS "end", max(places) places FROM runs GROUP BY doc_id, run)"""
 
 
-@query("clone_windows", f"WITH {_REP} SELECT doc_id, pos::INT pos, fk first_key, fp::INT first_pos, places FROM rep")
+@query("clone_windows", f"WITH {_REP} SELECT doc_id, pos::INT pos, places FROM rep")
 def _(spark, sf_dir):
-    return clones.repeated_windows(clones.windows(_tokens(spark, sf_dir)))
+    return clones.repeated_windows(_tokens(spark, sf_dir))
 
 
-@query(
-    "clone_regions",
-    f"WITH {_REP}, d AS (SELECT *, pos - fp shift FROM rep WHERE doc_id <> fk OR pos <> fp), g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, fk, shift ORDER BY pos) g FROM d) SELECT doc_id, fk first_key, min(pos)::INT AS start, (max(pos) + 39)::INT AS end, (max(pos) - min(pos) + 40)::INT tokens FROM g GROUP BY doc_id, fk, shift, g HAVING max(pos) - min(pos) + 40 >= 70",
-)
+@query("clone_regions", f'WITH {_REP} SELECT doc_id, start::INT AS start, "end"::INT AS "end", ("end" - start + 1)::INT tokens, places FROM regions')
 def _(spark, sf_dir):
-    return clones.regions(clones.repeated_windows(clones.windows(_tokens(spark, sf_dir))), 40)
+    return clones.regions(clones.repeated_windows(_tokens(spark, sf_dir)))
 
 
-@query(
-    "clone_share",
-    f"WITH {_REP}, c AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, unnest(generate_series(pos, pos + 39)) q FROM rep) GROUP BY 1) SELECT t.doc_id, len(w) n_tokens, coalesce(n, 0)::BIGINT n_repeated FROM t LEFT JOIN c USING (doc_id)",
-)
+_COVERED = 'c AS (SELECT doc_id, sum("end" - start + 1) n FROM regions GROUP BY 1)'
+
+
+@query("clone_share", f"WITH {_REP}, {_COVERED} SELECT t.doc_id, len(w) n_tokens, coalesce(n, 0)::BIGINT n_repeated FROM t LEFT JOIN c USING (doc_id)")
 def _(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
-    return clones.covered_share(clones.repeated_windows(clones.windows(tokens)), tokens, 40)
+    return clones.covered_share(clones.regions(clones.repeated_windows(tokens)), tokens)
 
 
 @query(
     "clone_score",
-    f"WITH {_REP}, c AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, unnest(generate_series(pos, pos + 39)) q FROM rep) GROUP BY 1), s AS (SELECT lang, sum(len(w)) a, sum(coalesce(n, 0)) b FROM t LEFT JOIN c USING (doc_id) JOIN documents USING (doc_id) GROUP BY 1) SELECT lang, round(10 * greatest(0, 1 - 5.0 * b / a), 2)::DOUBLE score FROM s",
+    f"WITH {_REP}, {_COVERED}, s AS (SELECT lang, sum(len(w)) a, sum(coalesce(n, 0)) b FROM t LEFT JOIN c USING (doc_id) JOIN documents USING (doc_id) GROUP BY 1) SELECT lang, round(least(10, 10 * greatest(0, 1 - 5 * b / a)), 2) score FROM s",
 )
 def _(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
-    shares = clones.covered_share(clones.repeated_windows(clones.windows(tokens)), tokens, 40).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    shares = clones.covered_share(clones.regions(clones.repeated_windows(tokens)), tokens).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return shares.groupBy("lang").agg(shapes.score2(10 * F.greatest(F.lit(0.0), 1 - 5 * F.sum("n_repeated") / F.sum("n_tokens"))).alias("score"))
 
 

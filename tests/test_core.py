@@ -110,12 +110,55 @@ def test_results_do_not_depend_on_partitions(spark):
     t = spark.createDataFrame([(1, words), (2, ["a", *words]), (3, words[:30])], "doc_id int, words array<string>")
     out = []
     for n in (1, 7, 40):
-        r = clones.repeated_windows(clones.windows(t.repartition(n), 40))
+        r = clones.repeated_windows(t.repartition(n))
         out.append(sorted(map(tuple, r.collect())))
-        assert sorted(map(tuple, clones.regions(r, 40).collect()))
+        assert sorted((x.doc_id, x.start, x.end) for x in clones.regions(r).collect()) == [(1, 1, 120), (2, 2, 121)]
     assert out[0] == out[1] == out[2]
 
 
+def plain_clones(docs, size):
+    """Tokens under any run of `size` or more that two places share without overlap, pair by pair."""
+    covered = {d: set() for d in docs}
+    for a, x in docs.items():
+        for b, y in docs.items():
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    if (a, i) < (b, j):
+                        most = j - i if a == b else min(len(x), len(y))
+                        n = 0
+                        while n < most and i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                            n += 1
+                        if n >= size:
+                            covered[a].update(range(i, i + n))
+                            covered[b].update(range(j, j + n))
+    return {d: sorted(k + 1 for k in c) for d, c in covered.items()}
+
+
+@pytest.mark.parametrize("vocabulary", [3, 300])
+def test_clones_match_pairs_of_places(spark, vocabulary):
+    import random
+
+    rng = random.Random(vocabulary)
+    passage = [f"p{rng.randrange(vocabulary)}" for _ in range(50)]
+    docs = {d: [f"p{rng.randrange(vocabulary)}" for _ in range(rng.randrange(0, 30))] + passage[rng.randrange(0, 20) : rng.randrange(20, 51)] for d in range(12)}
+    docs |= {20: ["same"] * 45, 21: passage[:20] + ["x"] + passage[:20], 22: [], 23: ["z"] * 12}
+    t = spark.createDataFrame(list(docs.items()), "doc_id int, words array<string>")
+    for size in (10, 16):
+        got = {d: [] for d in docs}
+        for r in clones.regions(clones.repeated_windows(t, size), size).collect():
+            got[r.doc_id] += range(r.start, r.end + 1)
+        assert {d: sorted(c) for d, c in got.items()} == plain_clones(docs, size)
+
+
+def test_no_clone_is_lost_to_earlier_places(spark):
+    """Two texts share 100 tokens; two earlier ones hold the first 65 and the last 55 of them."""
+    run = [f"t{k}" for k in range(100)]
+    t = spark.createDataFrame([(0, [*run[:65], "a"]), (1, ["b", *run[45:]]), (2, ["c", *run]), (3, [*run, "d"]), (4, ["e"] * 200), (5, ["e"] * 60)], "doc_id int, words array<string>")
+    got = {(r.doc_id, r.start, r.end) for r in clones.regions(clones.repeated_windows(t)).collect()}
+    assert got == {(2, 2, 101), (3, 1, 100), (4, 1, 200)}
+    assert clones.repeated_windows(t.where("doc_id > 100")).count() == 0
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
