@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assayer.plans import fold as FO
 from assayer.plans import rubric, sinks
 from assayer.plans import scan as S
+from assayer.sources import tables
 
 
 def bundle_tables(spark: SparkSession, documents: dict[str, dict]) -> tuple[DataFrame, ...]:
@@ -32,8 +33,11 @@ def bundle_tables(spark: SparkSession, documents: dict[str, dict]) -> tuple[Data
     )
 
 
-def fold_documents(spark: SparkSession, documents: dict[str, dict], version: str | None = rubric.RUBRIC_VERSION) -> tuple[FO.Folded, DataFrame]:
+def fold_documents(spark: SparkSession, documents: dict[str, dict], version: str | None = rubric.RUBRIC_VERSION, catalog: rubric.Catalog | None = None) -> tuple[FO.Folded, DataFrame]:
+    """Folds documents under the built-in rubric, or under that of a catalog."""
     bundles, dims, metas, lenses = bundle_tables(spark, documents)
+    if catalog is not None:
+        return FO.fold(bundles, dims, metas, lenses, p=catalog.scoring, dimensions=catalog.table(spark), rubric_version=catalog.version), bundles
     return FO.fold(bundles, dims, metas, lenses, rubric_version=version), bundles
 
 
@@ -62,10 +66,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("root")
     p.add_argument("--out", default="scan-out")
     p.add_argument("--quality-bar")
+    p.add_argument("--advisories", help="advisories as JSON")
+    p.add_argument("--cycles", help="ends of life as JSON")
+    p.add_argument("--as-of", help="the date that ends of life are held against")
+    p.add_argument("--licences", help="JSON with a list copyleft")
+    p.add_argument("--packages", help="a folder of restored packages")
     for name in ("score", "verify"):
         p = sub.add_parser(name)
         p.add_argument("evidence")
         p.add_argument("--any-rubric", action="store_true")
+        p.add_argument("--catalog", help="the rubric as JSON")
     p.add_argument("--expect", type=float)
     p = sub.add_parser("mapping")
     p.add_argument("--taxonomy")
@@ -73,16 +83,20 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("assayer").getOrCreate()
     if args.command == "scan":
-        s = S.scan(spark, args.root, args.quality_bar)
+        given = {"advisories": tables.advisory_ranges(spark, args.advisories) if args.advisories else None, "cycles": tables.end_of_life_cycles(spark, args.cycles) if args.cycles else None, "as_of": args.as_of}
+        if args.licences and args.packages:
+            given["licences"] = (tables.package_licences(spark, args.packages), json.loads(Path(args.licences).read_text())["copyleft"])
+        s = S.scan(spark, args.root, args.quality_bar, **given)
         out = Path(args.out)
         out.mkdir(parents=True, exist_ok=True)
         dims = rubric.dimensions_table(spark)
         head = s.bundle.crossJoin(s.folded.headline.select(F.round("cai", 2).alias("headlineScore"))).select(
             F.lit(rubric.RUBRIC_VERSION).alias("rubricVersion"), F.col("quality_bar").alias("qualityBar"), F.col("analyzable_projects").alias("analyzableProjects"), F.col("production_loc").alias("productionLoc"), "headlineScore"
         )
-        skipped = spark.createDataFrame([], "id string, reason string")
-        for name, df in (("evidence.json", sinks.evidence(head, s.measurements, skipped, dims)), ("findings.sarif", sinks.sarif(s.findings, rubric.rules_table(spark))), ("scores.json", sinks.scores_json(s.measurements))):
+        for name, df in (("evidence.json", sinks.evidence(head, s.measurements, s.skipped, dims)), ("findings.sarif", sinks.sarif(s.findings, rubric.rules_table(spark))), ("scores.json", sinks.scores_json(s.measurements))):
             (out / name).write_text(df.first().json + "\n")
+        for name, df in (("findings.tsv", sinks.findings_tsv(s.findings)), ("summary.md", sinks.summary(s.findings, s.measurements))):
+            (out / name).write_text(df.first().text + "\n")
         print(table_text(result(s.folded)))
         return 0
     if args.command == "mapping":
@@ -90,7 +104,8 @@ def main(argv: list[str] | None = None) -> int:
         text = sinks.mapping(spark.createDataFrame(concepts, "concept string"), rubric.rules_table(spark)).first().json
         Path(args.out).write_text(text + "\n") if args.out else print(text)
         return 0
-    folded, bundles = fold_documents(spark, {"bundle": json.loads(Path(args.evidence).read_text())}, None if args.any_rubric else rubric.RUBRIC_VERSION)
+    catalog = rubric.Catalog.read(json.loads(Path(args.catalog).read_text())) if args.catalog else None
+    folded, bundles = fold_documents(spark, {"bundle": json.loads(Path(args.evidence).read_text())}, None if args.any_rubric else rubric.RUBRIC_VERSION, catalog)
     r = result(folded)
     if "error" in r:
         print(r["error"], file=sys.stderr)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from assayer.functions import shapes
 from assayer.operators.common import checkpointed, table
+from assayer.plans import evidence as E
 from assayer.plans import fold as FO
+from assayer.plans import measures as M
 from assayer.plans import rubric, sinks
 from assayer.plans.registry import query
 
@@ -223,13 +225,74 @@ def _(spark, sf_dir):
     return sinks.scores_json(scores)
 
 
-@query("mapping_unmapped")
+_CONCEPTS = (("god-class", None), ("outdated-dependency", "needs registry data, and nothing is fetched"), ("mass-assignment", "not implemented"), ("never-heard-of", "no detector in this engine"))
+
+
+@query("mapping_unmapped", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in _CONCEPTS if r) + ") t(concept, reason)")
 def _(spark, sf_dir):
-    taxonomy = spark.createDataFrame([("god-class",), ("outdated-dependency",), ("mass-assignment",), ("never-heard-of",)], "concept string")
-    return sinks.unmapped(taxonomy, rubric.rules_table(spark))
+    return sinks.unmapped(spark.createDataFrame([(c,) for c, _ in _CONCEPTS], "concept string"), rubric.rules_table(spark))
 
 
-@query("rules_by_dimension")
+@query("rules_by_dimension", "WITH r(concept, dimension) AS (VALUES " + ", ".join(f"('{c}', '{d}')" for c, d, *_ in rubric.rules()) + ") SELECT dimension, count(*) rules, string_agg(concept, ',' ORDER BY concept) concepts FROM r GROUP BY 1")
 def _(spark, sf_dir):
     rules = rubric.rules_table(spark)
     return rules.groupBy("dimension").agg(F.count(F.lit(1)).alias("rules"), F.array_join(F.sort_array(F.collect_list("concept")), ",").alias("concepts"))
+
+
+#: Facts of a made-up repository for each nation, from what its customers ordered: name, SQL over the totals a (customers), b (orders), c (finished orders), d (urgent orders).
+_FACTS = {
+    "code_files": "a", "loc": "a * 700.0", "stream_tokens": "b", "clone_tokens": "floor(c / 9)", "awaiting": "b", "with_token": "c", "log_calls": "b - b % 3", "projects": "1 + a % 7", "nullable_projects": "a % 3", "test_projects": "1", "packages": "b", "scc_nodes": "d % 4",
+    "n_methods": "b", "wrappers": "floor(d / 2)", "registrations": "b", "singletons": "d", "interfaces": "d % 5", "ddd": "a % 2", "entities": "a", "id_props": "b", "typed_ids": "c", "event_handlers": "d", "publishers": "d % 2", "tests": "b", "no_assert": "floor(d / 4)",
+    "skipped": "d % 3", "swallowed": "0", "mocky": "d % 2", "logic_files": "b", "reached_files": "c", "domain_files": "b", "domain_reached": "c", "domain_direct": "d", "lock_projects": "b", "locked_projects": "c", "surface": "a", "flows": "a % 4", "alloc": "d", "js_calls": "b", "pages": "a", "workloads": "b",
+    "seccomp_workloads": "c", "mac_workloads": "d", "http_sites": "b", "controllers": "b", "open_controllers": "d", "platforms": "1", "business_loc": "c * 100.0", "integration_events": "d % 3",
+}
+_FLAGS_OF = {"flow": "a % 4 > 0", "has_advisories": "a % 2 = 0", "auth": "a % 3 > 0", "fallback": "a % 5 = 0", "db": "a % 2 = 0", "migrations": "a % 3 = 0", "ensure_created": "a % 5 = 0", "policy": "a % 3 > 0", "policy_contact": "a % 2 = 0", "axe": "a % 3 = 0", "flow_axe": "a % 2 = 0", "a11y_docs": "a % 5 > 0", "locked_flow": "a % 2 = 0", "js_guard": "a % 2 = 1", "runtime_agent": "a % 2 = 0", "psa": "a % 3 = 0", "psa_restricted": "a % 6 = 0"}
+_LOADS = {k: f"(d % {3 + k % 7}) / 2.0" for k in range(12)}
+_F = "10 * exp(-{k} * {load} / greatest(1, {size}))"
+#: Each formula once more, by its published text: what has to be there, and the score.
+_FORMULAS = {
+    "D1": ("a > 0", _F.format(k=1, load="{D1}", size="loc / 1000")), "D17": ("a > 0", _F.format(k=0.7, load="{D17}", size="loc / 1000")), "D29": ("a > 0", _F.format(k=1.5, load="{D29}", size="loc / 1000")), "D4": ("stream_tokens > 0", "10 * greatest(0, 1 - 5 * clone_tokens / stream_tokens)"),
+    "X2": ("awaiting > 0", "10 * with_token / awaiting"), "X4": ("log_calls > 0", "10 * greatest(0, 1 - {nX4} / log_calls)"), "X5": ("projects > 0", f"nullable_projects / projects * {_F.format(k=0.5, load='{X5}', size='loc / 1000')}"),
+    "AX3": ("projects > 0", f"(CASE WHEN scc_nodes = 0 THEN 10 ELSE greatest(0, 10 - 4 * scc_nodes) END) * {_F.format(k=1, load='{AX3}', size='projects / 2')} / 10"), "AX8": ("projects > 0", "greatest(0, 10 - 5 * {nAX8})"), "D5": ("projects > 0", _F.format(k=1, load="{D5}", size="projects / 3")),
+    "D27": ("n_methods > 0", f"greatest(0, 10 * (1 - 3 * wrappers / n_methods)) * {_F.format(k=1, load='{D27}', size='loc / 1000')} / 10"), "AX2": ("registrations > 0", _F.format(k=1, load="{AX2}", size="singletons / 5")), "AX10": ("projects > 0", f"least(10, 10 * business_loc / loc / 0.45) * {_F.format(k=1, load='{AX10}', size='loc / 1000')} / 10"),
+    "DM2": ("ddd > 0 AND id_props > 0", "10 * typed_ids / id_props"), "DM4": ("ddd > 0", "10 * (1 - {nDM4} / entities)"), "DM5": ("ddd > 0", _F.format(k=0.7, load="{DM5}", size="entities / 5")), "ED1": ("event_handlers > 0", "10 * greatest(0, 1 - {nED1} / event_handlers)"),
+    "D30": ("packages > 0 AND has_advisories", _F.format(k=1, load="{D30}", size="packages / 25")), "D43": ("packages > 0 AND has_advisories", "CASE WHEN {nD43} = 0 THEN 10 ELSE 0 END"),
+    "D31": ("surface > 0", _F.format(k=0.8, load="{D31}", size="surface / 4")), "C2": ("auth AND controllers > 0", "10 * (CASE WHEN fallback THEN 1 ELSE (1 - open_controllers / controllers) * 0.9 END)"), "R4": ("projects > 0", "10 * reached_files / logic_files"),
+    "D10": ("tests > 0", "10 * (1 - least(1, 2 * (no_assert + skipped + swallowed + 2 * mocky) / tests))"), "D11": ("tests > 0", "10 * (1 - least(1, 3 * {nD11} / tests))"), "P9": ("domain_files > 0", "10 * least(1, 0.5 * domain_reached / domain_files + 0.5 * least(1, domain_direct / domain_files / 0.6))"),
+    "SC1": ("packages > 0", "10 * locked_projects / lock_projects * (CASE WHEN locked_flow THEN 1 ELSE 0.8 END)"), "D12": ("packages > 0", "10 * exp(-0.35 * {nD30} - 2 * {nD43}) * exp(-0.3 * {nD12}) * (0.7 + 0.3 * locked_projects / lock_projects)"), "P12": ("flow", _F.format(k=0.7, load="{P12}", size="1")),
+    "P7": ("http_sites > 0", "10 * greatest(0, 1 - {nP7} / http_sites)"), "P8": ("db", "CASE WHEN migrations AND NOT ensure_created THEN 10 WHEN migrations THEN 5 WHEN ensure_created THEN 2 ELSE 4 END"), "PF2": ("alloc > 0", "least(10, 6 + 4 * least(1, alloc / (loc / 1000) / 6))"),
+    "X8": ("js_calls > 0", "10 * greatest(0, 1 - {nX8} / js_calls) * (CASE WHEN js_guard THEN 1 ELSE 0.9 END)"), "AC1": ("pages > 0", _F.format(k=1, load="{AC1}", size="pages / 10")), "AC7": ("pages > 0", "CASE WHEN axe AND flow_axe THEN 10 WHEN axe THEN 7 WHEN a11y_docs THEN 4 ELSE 0 END"),
+    "D41": ("workloads > 0 AND (seccomp_workloads > 0 OR mac_workloads > 0)", "round(10 * (0.6 * seccomp_workloads + 0.4 * mac_workloads) / workloads, 1)"), "D42": ("workloads > 0 AND (runtime_agent OR psa)", "round(10 * ((CASE WHEN runtime_agent THEN 0.5 ELSE 0 END) + (CASE WHEN psa_restricted THEN 0.2 WHEN psa THEN 0.1 ELSE 0 END)), 1)"),
+}
+
+
+def _load_of(key: str) -> str:
+    return _LOADS[sum(map(ord, key)) % len(_LOADS)]
+
+
+def _formula_sql() -> str:
+    class Told(dict):
+        def __missing__(self, key):
+            return f"(c % {2 + len(key)})" if key.startswith("n") else f"({_load_of(key)})"
+
+    totals = "t AS (SELECT n_nationkey, count(DISTINCT c_custkey)::DOUBLE a, count(o_orderkey)::DOUBLE b, count(o_orderkey) FILTER (o_orderstatus = 'F')::DOUBLE c, count(o_orderkey) FILTER (o_orderpriority = '1-URGENT')::DOUBLE d FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
+    facts = "f AS (SELECT *, " + ", ".join(f"({e})::DOUBLE {n}" for n, e in _FACTS.items()) + ", " + ", ".join(f"({e}) {n}" for n, e in _FLAGS_OF.items()) + " FROM t)"
+    rows = " UNION ALL ".join(f"SELECT n_nationkey, '{d}' id, round(greatest(0, least(10, {score.format_map(Told())})), 2)::DOUBLE score FROM f WHERE {needs}" for d, (needs, score) in _FORMULAS.items())
+    return f"WITH {totals}, {facts} {rows}"
+
+
+@query("measure_scores", _formula_sql())
+def _(spark, sf_dir):
+    t = {n: table(spark, sf_dir, n) for n in ("nation", "customer", "orders")}
+    rows = t["nation"].join(t["customer"], F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t["orders"], F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("n_nationkey").agg(
+        F.count_distinct("c_custkey").cast("double").alias("a"), F.count("o_orderkey").cast("double").alias("b"), F.count_if(F.col("o_orderstatus") == "F").cast("double").alias("c"), F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("d")
+    )
+    told = {n: F.expr(e).cast("double") for n, e in _FACTS.items()} | {n: F.expr(e) for n, e in _FLAGS_OF.items()}
+    names = M.names()
+    told |= {x: F.expr(_load_of(x[5:])).cast("double") for x in names if x.startswith("load_")} | {x: F.expr(f"c % {1 + len(x)}") for x in names if x.startswith("n_") and x not in told}
+    flags = {n for n in names if n in E.FLAGS or n in ("has_history", "has_cycles", "locked_mode")} - set(told)
+    told |= {x: F.lit(False) for x in flags}
+    words = {"if", "true", "false", "and", "or", "not", "greatest", "least", "exp", "round"}
+    told |= {x: F.lit(0.0) for x in names - set(told) - words}
+    scored, _ = M.measured(rows.select("n_nationkey", *(c.alias(n) for n, c in told.items())), ["n_nationkey"], list(_FORMULAS))
+    return scored.select("n_nationkey", "id", "score")

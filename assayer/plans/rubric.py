@@ -45,6 +45,35 @@ class Scoring:
     poor_floor: float = 5.0
     tolerance: float = 0.5
 
+    @classmethod
+    def read(cls, block: dict) -> Scoring:
+        """The parameters that a catalog's scoring block states, the published defaults for the rest."""
+        own = cls()
+        surface, bands, bar = block.get("architectureSurface", {}), block.get("bands", {}), block.get("qualityBar", {})
+        return cls(
+            block.get("withinLensQ", own.within_q), block.get("acrossLensQ", own.across_q), block.get("criticalGate", own.gate),
+            surface.get("minProjects", own.min_projects), surface.get("minProductionLoc", own.min_loc), surface.get("lowSurfaceCap", own.low_surface_cap),
+            tuple(float(bands.get(n, x)) for n, x in zip(("exemplary", "healthy", "fair", "poor"), own.cutlines, strict=True)),
+            bar.get("offsets", own.bar_offsets), bar.get("lensGroupFactors", own.group_factors), bar.get("exemplaryCeiling", own.exemplary_ceiling), bar.get("poorFloor", own.poor_floor),
+        )
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """A rubric read from a document: its version, the lens and category of each dimension, and the parameters of the fold."""
+
+    version: str
+    dimensions: list[tuple[str, str | None, str | None]]  # id, category, lens
+    scoring: Scoring
+
+    @classmethod
+    def read(cls, document: dict) -> Catalog:
+        dims = [(d["id"], d.get("category"), d.get("lens")) for d in document.get("dimensions", [])]
+        return cls(document["rubricVersion"], dims, Scoring.read(document.get("scoring", {})))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.dimensions, "id string, category string, lens string")
+
 
 #: Rules: concept, its dimension and those it also touches, and its weakness number or a dash.
 RULES = """

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.functions import shapes
 from assayer.functions import text as T
 from assayer.operators.common import checkpointed
+from assayer.plans import evidence as E
 from assayer.plans import fold as FO
+from assayer.plans import measures as M
+from assayer.plans import relations as R
 from assayer.plans import rubric, rules, rules_flow, sinks
 from assayer.sources import tables
 
 
-def code_findings(parsed: DataFrame) -> DataFrame:
+def code_findings(parsed: DataFrame, methods: DataFrame | None = None, types: DataFrame | None = None, validates: bool = False) -> DataFrame:
     """Findings in production methods, types and comments, and in test methods."""
-    methods, types = tables.exploded(parsed, "methods"), tables.exploded(parsed, "types")
+    methods = tables.exploded(parsed, "methods") if methods is None else methods
+    types = tables.exploded(parsed, "types") if types is None else types
+    # a method is beside a logger if its project, or without one its file, uses one
+    unit = F.coalesce("project", "path") if "project" in parsed.columns else F.col("path")
+    loggers = parsed.where("map_contains_key(words, 'ILogger')").select(unit.alias("__unit")).distinct().withColumn("logged", F.lit(True))
+    methods = methods.withColumn("__unit", F.coalesce("project", "path") if "project" in methods.columns else F.col("path")).join(loggers, "__unit", "left").fillna(False, ["logged"])
     comments = tables.exploded(parsed, "comments").where(~F.col("is_test"))
     marked = comments.select("path", "line", "text", F.lit(None).cast("int").alias("end_line")).where(F.col("text").rlike(T.MARKERS))
     debt = rules.judged(marked, [("technical-debt-marker", "true", "0.5", "substring(text, 1, 80)")])
@@ -26,6 +34,11 @@ def code_findings(parsed: DataFrame) -> DataFrame:
     large = rules.judged(size, [("oversized-source-file", "loc > 800", "if(loc > 1500, 2, 1)", "concat(loc, ' lines of code')")])
     tests = methods.where(F.col("is_test") & F.col("attributes").rlike(r"\b(Fact|Theory|Test|TestMethod|TestCase)\b"))
     parts = [rules.judged(methods.where(~F.col("is_test")), rules.METHOD_RULES + rules_flow.FLOW_RULES), rules.judged(types.where(~F.col("is_test")), rules.TYPE_RULES + rules_flow.DESIGN_RULES), rules.judged(tests, rules.TEST_RULES), debt, large]
+    if "is_packable" in parsed.columns:
+        packed = parsed.where("is_packable and coalesce(output_type, '') <> 'Exe'").select("path")
+        parts.append(rules.judged(methods.where(~F.col("is_test")).join(packed, "path", "left_semi"), rules.LIBRARY_RULES))
+    if validates:
+        parts.append(rules.judged(types.where(~F.col("is_test")), rules.REQUEST_RULES))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -107,12 +120,6 @@ def line_findings(sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def markup_findings(sources: DataFrame) -> DataFrame:
-    """Accessibility findings of pages and components."""
-    pages = sources.where(F.col("path").rlike(r"\.(html?|razor|cshtml)$") & ~F.col("is_test"))
-    return element_findings(tables.html_nodes(pages))
-
-
 def element_findings(nodes: DataFrame) -> DataFrame:
     """Findings over rows of elements, one page at a time: labels, images inside and the heading before come from joins and windows by page."""
     level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
@@ -142,47 +149,8 @@ def project_findings(projects: DataFrame) -> DataFrame:
     return found.unionByName(layers)
 
 
-#: Checklists: dimension, rule, then (item, the paths it looks at, what it looks for there).
-CHECKLISTS = [
-    ("M1", "readme-quality", 0.5, [("explains itself", r"(?i)^readme\.md$", r"(?s).{400}"), ("installation", r"(?i)^readme\.md$", r"(?i)install|getting started|build"), ("usage", r"(?i)^readme\.md$", r"(?i)usage|example|run"), ("code block", r"(?i)^readme\.md$", "```"), ("licence", r"(?i)^readme\.md$|^licen[cs]e", r"(?i)licen[cs]e")]),
-    ("M2", "architecture-documentation", 0.5, [("architecture document", r"(?i)architecture[^/]*\.md$|(^|/)docs?/.*\.md$", r"(?i)architecture"), ("decision records", r"(?i)(^|/)adrs?/|decisions/", "."), ("diagram", r"(?i)\.(md|puml|mmd)$", r"(?i)mermaid|plantuml|c4"), ("contributing", r"(?i)contributing\.md$", ".")]),
-    ("M3", "folder-structure", 1.0, [("source folder", r"^src/", "."), ("test folder", r"^tests?/", "."), ("solution", r"\.slnx?$", ".")]),
-    ("P1", "ci-build-and-test-pipeline", 1.0, [("builds", r"\.github/workflows/|azure-pipelines|\.gitlab-ci", r"(?i)build"), ("tests", r"\.github/workflows/|azure-pipelines|\.gitlab-ci", r"(?i)\btest\b"), ("on pull requests", r"\.github/workflows/|azure-pipelines|\.gitlab-ci", "(?i)pull_request|merge_request|pr:"), ("caches", r"\.github/workflows/|azure-pipelines|\.gitlab-ci", "(?i)cache")]),
-    ("P3", "security-tooling-in-ci", 0.5, [("code scanning", r"\.github/workflows/", "(?i)codeql|sonar|semgrep"), ("dependency updates", r"dependabot\.ya?ml$|renovate\.json$", "."), ("secret scanning", r"\.github/workflows/|\.gitleaks", "(?i)gitleaks|trufflehog|secret-scan"), ("image scanning", r"\.github/workflows/", "(?i)trivy|grype|anchore")]),
-    ("P2", "observability", 1.0, [("structured logs", r"\.cs$", r"ILogger|Serilog"), ("health checks", r"\.cs$", "AddHealthChecks|MapHealthChecks"), ("traces", r"\.cs$", "OpenTelemetry|ActivitySource"), ("correlation", r"\.cs$", "(?i)correlationid|TraceIdentifier")]),
-    ("P4", "deployment-rollback-safety", 1.0, [("deployment", r"\.github/workflows/|\.ya?ml$", "(?i)deploy"), ("rollback", r"\.ya?ml$|\.md$", "(?i)rollback"), ("readiness", r"\.ya?ml$", "readinessProbe"), ("strategy", r"\.ya?ml$", "(?i)rollingupdate|blue-?green|canary"), ("environments", r"\.ya?ml$", "(?i)environment:")]),
-    ("P5", "disaster-recovery-evidence", 1.0, [("backup", r"\.(ya?ml|md|sh|tf)$", "(?i)backup"), ("restore", r"\.(ya?ml|md|sh|tf)$", "(?i)restore"), ("persistence", r"\.ya?ml$", "(?i)persistentvolume|volumes:"), ("retention", r"\.(ya?ml|md|tf)$", "(?i)retention")]),
-    ("D37", "vulnerability-disclosure-policy", 1.0, [("contact", r"(?i)security\.(md|txt)$", r"@|https?://"), ("scope", r"(?i)security\.(md|txt)$", "(?i)supported|scope|version"), ("time frame", r"(?i)security\.(md|txt)$", r"(?i)\bdays?\b|hours|week"), ("process", r"(?i)security\.(md|txt)$", "(?i)report|disclos")]),
-]
-
-
-def checklists(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, measurements): every item of every list is one flag, and all flags come from one pass over the files."""
-    flags = [(d, r, w, item, F.bool_or(F.col("path").rlike(p) & F.col("text").rlike(q))) for d, r, w, items in CHECKLISTS for item, p, q in items]
-    row = sources.agg(F.array(*(F.struct(F.lit(d).alias("id"), F.lit(r).alias("rule_id"), F.lit(w).alias("weight"), F.lit(i).alias("item"), F.coalesce(ok, F.lit(False)).alias("ok")) for d, r, w, i, ok in flags)).alias("a"))
-    items = row.select(F.explode("a").alias("x")).select("x.*")
-    failed = items.where(~F.col("ok")).select("rule_id", F.col("id").alias("dimension"), F.concat(F.lit("missing: "), F.col("item")).alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"), "weight", F.lit(None).cast("string").alias("commit_sha"))
-    scores = items.groupBy("id").agg(shapes.score2(shapes.check(F.count_if("ok"), F.count(F.lit(1)))).alias("score"))
-    return failed, scores
-
-
-#: Dimensions measured by the density of their findings: id, what they are spread over, and the steepness.
-DENSITY = {
-    **dict.fromkeys("D1 D2 D3 R3 GD1 X1 X3 X23 X7 X9 X13 X16 X18 X19 X20 X21 X27 X32 X17".split(), ("kloc", 1.0)),
-    "D17": ("kloc", 0.7), "IC1": ("kloc", 1.0), "D29": ("kloc", 1.5), "D31": ("surface", 0.8), "P12": ("one", 0.7),
-    **dict.fromkeys("AC1 AC2 AC3 AC4 AC5".split(), ("pages", 1.0)), "AX4": ("projects4", 1.0), "D10": ("tests", 1.0), "D11": ("tests", 1.0),
-}
-
-
-def measurements(findings: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(id, score, confidence, coverage, advisory) of the dimensions in DENSITY; sizes is one row of surfaces. A dimension without findings scores 10."""
-    spark = findings.sparkSession
-    ids = spark.createDataFrame([(i, s, k) for i, (s, k) in DENSITY.items()], "id string, spread string, k double")
-    load = shapes.findings_load(findings, ["dimension"]).withColumnRenamed("dimension", "id")
-    pick = F.coalesce(*(F.when(F.col("spread") == s, F.col(s).cast("double")) for s in sizes.columns), F.lit(1.0))
-    rows = ids.join(F.broadcast(load), "id", "left").crossJoin(F.broadcast(sizes)).withColumn("size", F.greatest(F.lit(1.0), pick))
-    score = 10 * F.exp(-F.col("k") * F.coalesce("load", F.lit(0.0)) / F.col("size"))
-    return rows.select("id", shapes.score2(score).alias("score"), F.lit(1.0).alias("confidence"), F.lit(1.0).alias("coverage"), F.lit(False).alias("advisory"))
+#: Jobs that the driver has under way at once.
+_AT_ONCE = 6
 
 
 @dataclass
@@ -192,34 +160,87 @@ class Scan:
     not_measured: DataFrame
     folded: FO.Folded
     bundle: DataFrame
+    skipped: DataFrame
 
 
-def scan_sources(spark: SparkSession, sources: DataFrame, quality_bar: str | None = None) -> Scan:
+def scan_sources(spark: SparkSession, sources: DataFrame, quality_bar: str | None = None, changes: DataFrame | None = None, advisories: DataFrame | None = None, cycles: DataFrame | None = None, as_of: str | None = None, licences: tuple[DataFrame, list[str]] | None = None, tags: int = 0) -> Scan:
     """Everything a scan of rows (path, text, is_binary, is_test, is_generated) gives.
 
-    Facts, findings and measurements are read several times, so each is written once as a reliable checkpoint.
+    With `changes` (commit, author, ts, path) history is read, with `advisories`, `cycles` (cycle, eol) as of a date, and `licences` (metadata, copyleft ids) packages are;
+    what isn't given isn't measured, with the reason. Facts, findings and measurements are read several times, so each is written once as a reliable checkpoint.
     """
-    parsed = checkpointed(tables.code(sources))
+    sources = checkpointed(sources)
     projects = checkpointed(tables.projects(sources))
-    listed, checks = checklists(sources)
-    checks = checkpointed(checks)
-    parts = [code_findings(parsed), unused_members(parsed), symbol_findings(parsed), file_findings(sources), line_findings(sources), markup_findings(sources), rules.judged(tables.containers(sources), rules.CONTAINER_RULES), project_findings(projects), listed]
-    findings = checkpointed(reduce(DataFrame.unionByName, parts))
-    count = lambda df, test, name: df.agg(F.coalesce(F.count_if(test), F.lit(0)).alias(name))
-    loc = parsed.agg(F.coalesce(F.sum(F.when(~F.col("is_test"), F.col("loc"))), F.lit(0)).alias("loc"))
-    sizes = loc.crossJoin(count(sources, F.col("path").rlike(r"\.(html?|razor|cshtml)$"), "n_pages")).crossJoin(count(sources, F.col("path").rlike(r"(?i)dockerfile|\.ya?ml$|\.tf$"), "n_surface"))
-    sizes = sizes.crossJoin(count(projects, F.col("role") != "Test", "n_projects")).crossJoin(count(tables.exploded(parsed, "methods"), F.col("is_test"), "n_tests"))
-    sizes = checkpointed(sizes)
-    surfaces = sizes.select((F.col("loc") / 1000.0).alias("kloc"), (F.col("n_pages") / 10.0).alias("pages"), (F.col("n_surface") / 4.0).alias("surface"), (F.col("n_projects") / 4.0).alias("projects4"), F.col("n_tests").cast("double").alias("tests"), F.lit(1.0).alias("one"))
-    measured = measurements(findings, surfaces).unionByName(checks.select("id", "score", F.lit(1.0).alias("confidence"), F.lit(1.0).alias("coverage"), F.lit(False).alias("advisory")))
-    measured = checkpointed(measured)
+    own = checkpointed(R.owned(sources, projects))
+    test_projects = projects.where("role = 'Test'").select(F.col("path").alias("project"), F.lit(True).alias("__t"))
+    parsed = tables.code(sources).join(own, "path", "left").join(F.broadcast(test_projects), "project", "left")
+    parsed = checkpointed(parsed.withColumn("is_test", F.col("is_test") | F.coalesce("__t", F.lit(False))).drop("__t"))
+    code = parsed.where(~F.col("is_test"))
+    places = parsed.select("path", "project", "project_name", "role")
+    methods, types = checkpointed(tables.exploded(parsed, "methods").join(places, "path")), tables.exploded(parsed, "types").join(places, "path")
+    surface = methods.where("array_contains(modifiers, 'public')").groupBy("path", F.col("type").alias("name")).agg(F.flatten(F.collect_list(F.concat(F.array("returns"), "params"))).alias("surface"))
+    types = checkpointed(types.where(~F.col("is_test")).join(surface, ["path", "name"], "left").withColumn("surface", F.coalesce("surface", F.array().cast("array<string>"))))
+    edges = checkpointed(file_edges(parsed))
+    production = edges.join(code.select(F.col("path").alias("src")), "src", "left_semi")
+    nodes = checkpointed(tables.html_nodes(sources.where(F.col("path").rlike(r"\.(html?|razor|cshtml)$") & ~F.col("is_test"))))
+    boxes = checkpointed(tables.containers(sources))
+
+    complexity = methods.groupBy("path").agg(F.max("cyclomatic").alias("cx"))
+    files = code.select("path", "loc").join(complexity, "path", "left").fillna(1, ["cx"])
+    fan_in = production.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("fan_in"))
+    born = changes.groupBy("path").agg(F.min("ts").alias("born")) if changes is not None else None
+    work = boxes.where("kind in ('Deployment', 'StatefulSet', 'DaemonSet')").groupBy("path", "line").agg(F.max("seccomp").alias("s"), F.max("confined").alias("c"))
+    own_methods = methods.where(~F.col("is_test"))
+
+    def packages_and_classes():
+        (found, n), packages = R.dependency_relations(spark, sources, projects, advisories, cycles, F.lit(as_of).cast("date") if as_of else F.current_date(), licences)
+        more, m = R.class_relations(types, own_methods, packages)
+        return found + more, n | m
+
+    # many small jobs that don't depend on each other: the driver submits them side by side
+    counts = [
+        lambda: E.counted(sources.where(~F.col("is_binary")), E.FILE_COUNTS, E.FLAGS), lambda: E.counted(own_methods, E.METHOD_COUNTS), lambda: E.counted(types, E.TYPE_COUNTS), lambda: E.counted(code, {"loc": "loc"}),
+        lambda: E.counted(work, {"workloads": "1", "seccomp_workloads": "if(s, 1, 0)", "mac_workloads": "if(c, 1, 0)"}),
+    ]
+    relations = [
+        packages_and_classes, lambda: R.project_graph(projects, code, types, production, own), lambda: R.test_relations(parsed, methods, edges, projects), lambda: R.clone_relations(code, methods, born),
+        lambda: R.script_relations(sources), lambda: R.history_relations(changes, files, production, fan_in),
+    ]
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        related, counted = [pool.submit(f) for f in relations], [pool.submit(f) for f in counts]
+        values = {"tags": tags}
+        for f in counted:
+            values |= f.result()
+        parts = [code_findings(parsed, methods, types, values["validates"]), unused_members(parsed), symbol_findings(parsed), file_findings(sources), line_findings(sources), element_findings(nodes), rules.judged(boxes, rules.CONTAINER_RULES), project_findings(projects), *R.style_relations(sources, nodes)]
+        written = [pool.submit(checkpointed, x) for x in (reduce(DataFrame.unionByName, parts[:3]), reduce(DataFrame.unionByName, parts[3:]))]
+        for f in related:
+            found, n = f.result()
+            values |= n
+            written += [pool.submit(checkpointed, reduce(DataFrame.unionByName, found))] if found else []
+        parts = [f.result() for f in written]
+    located = checkpointed(reduce(DataFrame.unionByName, parts))
+
+    by_rule = {r.rule_id: r.n for r in located.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = lambda names: sum(by_rule.get(x, 0) for x in names.split())
+    values |= {"no_assert": total("test-without-assertion"), "swallowed": total("test-failure-swallowed"), "mocky": total("excessive-mocking"), "skipped": total("skipped-test-without-reason"), "weak_crypto": total("weak-cryptographic-algorithm weak-hash-algorithm insufficient-password-hashing improper-certificate-validation token-signature-or-expiry-not-validated")}
+    values["injections"] = total("sql-injection command-injection path-traversal ldap-injection xpath-injection server-side-request-forgery regex-denial-of-service cross-site-scripting open-redirect code-injection")
+    row = E.facts(spark, values)
+    findings = checkpointed(located.unionByName(E.list_findings(row)).unionByName(R.rule_documents(sources, values, total("layer-dependency-violation"))))
+    told = {f"{prefix}_{r.key}": r.v for prefix, df in (("load", M.loads(findings).select("key", F.col("load").alias("v"))), ("n", M.counts(findings).select("key", F.col("n").alias("v")))) for r in df.collect()}
+    for r in E.list_items(row).groupBy("id").agg(F.count_if("ok").alias("ok"), F.count(F.lit(1)).alias("of")).collect():
+        told |= {f"ok_{r.id}": r.ok, f"of_{r.id}": r["of"]}
+    missing = {x: 0.0 for x in M.names() if x.startswith(("load_", "n_", "ok_", "of_"))}
+    measured, skipped = (checkpointed(x) for x in M.measured(E.facts(spark, missing | told | values)))
     dims = rubric.dimensions_table(spark)
     kept = sinks.prune_postures(findings, measured)
     placed = measured.join(F.broadcast(dims.select("id", "lens", "category")), "id").withColumn("bundle_id", F.lit("scan"))
-    bundle = sizes.select(F.lit("scan").alias("bundle_id"), F.lit(quality_bar).cast("string").alias("quality_bar"), F.col("n_projects").cast("int").alias("analyzable_projects"), F.col("loc").cast("int").alias("production_loc"))
+    bundle = row.select(F.lit("scan").alias("bundle_id"), F.lit(quality_bar).cast("string").alias("quality_bar"), F.col("projects").cast("int").alias("analyzable_projects"), F.col("loc").cast("int").alias("production_loc"))
     folded = FO.fold(bundle, placed.where("category is not null"), placed.where("category is null"))
-    return Scan(kept, measured, sinks.not_measured(dims, measured), folded, bundle)
+    return Scan(kept, measured, sinks.not_measured(dims, measured, skipped), folded, bundle, skipped)
 
 
-def scan(spark: SparkSession, root: str, quality_bar: str | None = None) -> Scan:
-    return scan_sources(spark, tables.files(spark, root), quality_bar)
+def scan(spark: SparkSession, root: str, quality_bar: str | None = None, **given) -> Scan:
+    """A folder; its history is read where it is a checkout."""
+    sources = tables.files(spark, root, tracked=tables.tracked_files(root))
+    changes, tags = tables.git_history(spark, root), tables.git_tags(root)
+    return scan_sources(spark, sources, quality_bar, changes if changes.limit(1).count() else None, tags=len(tags), **given)

@@ -108,3 +108,26 @@ def mapping(taxonomy: DataFrame, rules: DataFrame, tool: str = "assayer") -> Dat
     own = rules.agg(F.sort_array(F.collect_list(F.struct("concept", F.concat(F.lit("^"), F.col("concept"), F.lit("$")).alias("pattern"), "dimension"))).alias("rules"))
     rest = unmapped(taxonomy, rules).agg(F.sort_array(F.collect_list(F.struct("concept", "reason"))).alias("unmapped"))
     return own.crossJoin(rest).select(F.to_json(F.struct(F.lit(tool).alias("tool"), "rules", "unmapped")).alias("json"))
+
+
+def findings_tsv(findings: DataFrame) -> DataFrame:
+    """One row with the findings as tab-separated lines under a head, in the order of the SARIF document."""
+    names = ("rule_id", "dimension", "file", "line", "weight", "message")
+    line = F.concat_ws("\t", *(F.regexp_replace(F.coalesce(F.col(n).cast("string"), F.lit("")), r"[\t\r\n]+", " ") for n in names))
+    rows = sarif_positions(findings).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]).alias("a"))
+    return rows.select(F.array_join(F.concat(F.array(F.lit("\t".join(names))), "a"), "\n").alias("text"))
+
+
+def markdown(rows: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
+    """One row with a Markdown table of the rows in a total order."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", "\\\\|") for c in columns)), F.lit(" |"))
+    lines = rows.select(F.struct(F.row_number().over(Window.orderBy(*order)).alias("n"), cells.alias("l")).alias("s")).agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["l"]).alias("a"))
+    head = [f"| {' | '.join(columns)} |", f"|{'-|' * len(columns)}"]
+    return lines.select(F.array_join(F.concat(F.array(*map(F.lit, head)), "a"), "\n").alias("text"))
+
+
+def summary(findings: DataFrame, measurements: DataFrame) -> DataFrame:
+    """One row with a Markdown table of the measured dimensions: score, findings and their weight."""
+    per = findings.groupBy(F.col("dimension").alias("id")).agg(F.count(F.lit(1)).alias("findings"), F.round(F.sum("weight"), 2).alias("weight"))
+    rows = measurements.join(per, "id", "left").fillna(0, ["findings"]).fillna(0.0, ["weight"])
+    return markdown(rows, ["id", "score", "findings", "weight"], [F.col("score"), F.col("id")])

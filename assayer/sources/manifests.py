@@ -169,6 +169,18 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def commits(lines):
+    """A log cut into its commits, each beginning with its mark."""
+    held: list[str] = []
+    for line in lines:
+        if line.startswith("\x01") and held:
+            yield "".join(held)
+            held = []
+        held.append(line)
+    if held:
+        yield "".join(held)
+
+
 def change_log(text: str) -> list[dict]:
     """Rows (sha, author, date, path, added, deleted) from `git log --numstat --format=%x01%H%x02%aE%x02%aI`; renamed paths take their new name, binary churn is 0."""
     out = []

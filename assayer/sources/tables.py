@@ -15,8 +15,8 @@ _TEST_PATH = r"(?i)(^|/)(tests?|specs?)/|(^|/)[^/]*\.?(unit|integration)?tests?(
 _GENERATED_PATH = r"(?i)\.(g|designer|generated)\.cs$|(^|/)(migrations|generated)/"
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text, is_binary, is_test, is_generated) of every file under the folder, without build and package folders.
+def files(spark: SparkSession, root: str, tracked: list[str] | None = None) -> DataFrame:
+    """(path, text, is_binary, is_test, is_generated) of every file under the folder, without build and package folders; of the `tracked` ones, where these are told.
 
     A file with a zero byte in its first 8000 is binary and has an empty text.
     """
@@ -26,6 +26,8 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     skipped = "(^|/)(" + "|".join(map(re.escape, manifests.EXCLUDED_DIRS)) + ")/"
     binary = F.instr(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), "\0") > 0
     rows = found.select(path.alias("path"), F.when(binary, "").otherwise(F.decode("content", "UTF-8")).alias("text"), binary.alias("is_binary"))
+    if tracked is not None:
+        rows = rows.join(spark.createDataFrame([(x,) for x in tracked], "path string"), "path", "left_semi")
     return classified(rows.where(~F.col("path").rlike(skipped)))
 
 
@@ -151,14 +153,14 @@ def _containers(path: str, text: str) -> list[dict]:
                 "non_root": _truth(own.get("runAsNonRoot", outer.get("runAsNonRoot")), False), "escalation": _truth(own.get("allowPrivilegeEscalation")), "read_only": _truth(own.get("readOnlyRootFilesystem"), False),
                 "seccomp": bool(own.get("seccompProfile") or outer.get("seccompProfile") or own.get("appArmorProfile")), "added": [str(x) for x in caps.get("add") or []], "dropped": [str(x) for x in caps.get("drop") or []],
                 "limits": bool(resources.get("limits")), "requests": bool(resources.get("requests")), "probes": bool(c.get("livenessProbe") or c.get("readinessProbe")), "host": any(_truth(pod.get(x), False) for x in ("hostNetwork", "hostPID", "hostIPC")),
-                "host_path": any(isinstance(v, dict) and "hostPath" in v for v in pod.get("volumes") or []), "automount": _truth(pod.get("automountServiceAccountToken"), True), "account": str(pod.get("serviceAccountName") or ""),
+                "confined": bool(own.get("appArmorProfile") or own.get("seLinuxOptions") or outer.get("appArmorProfile") or outer.get("seLinuxOptions")), "host_path": any(isinstance(v, dict) and "hostPath" in v for v in pod.get("volumes") or []), "automount": _truth(pod.get("automountServiceAccountToken"), True), "account": str(pod.get("serviceAccountName") or ""),
             })
     return out
 
 
 def containers(sources: DataFrame) -> DataFrame:
     """One row for each container of a Kubernetes workload, with what its security rules ask."""
-    names = ["path", "line", "kind", "name", "image", "has_context", "privileged", "non_root", "escalation", "read_only", "seccomp", "added", "dropped", "limits", "requests", "probes", "host", "host_path", "automount", "account"]
+    names = ["path", "line", "kind", "name", "image", "has_context", "privileged", "non_root", "escalation", "read_only", "seccomp", "added", "dropped", "limits", "requests", "probes", "host", "confined", "host_path", "automount", "account"]
     kinds = {"line": ("int", pa.int32()), "added": ("array<string>", _strings), "dropped": ("array<string>", _strings), **{n: ("string", pa.string()) for n in ("path", "kind", "name", "image", "account")}}
     pick = {n: kinds.get(n, ("boolean", pa.bool_())) for n in names}
     return _kernel(sources.where(F.col("path").rlike(r"\.ya?ml$")), _containers, ", ".join(f"{n} {t[0]}" for n, t in pick.items()), pa.schema([(n, t[1]) for n, t in pick.items()]))
@@ -169,10 +171,34 @@ def text_lines(sources: DataFrame) -> DataFrame:
     return sources.select("path", F.posexplode(F.split("text", "\r?\n")).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
 
 
-def git_history(spark: SparkSession, root: str, timeout: int = 600) -> DataFrame:
-    """(commit, author, ts, path, added, deleted) of the checked-out history without merges; the driver runs git, once."""
-    told = subprocess.run(["git", "-C", root, "log", "--no-merges", "--numstat", "--format=%x01%H%x02%aE%x02%aI"], capture_output=True, text=True, timeout=timeout, check=False)
-    rows = [(r["sha"], r["author"], r["date"], r["path"], r["added"], r["deleted"]) for r in manifests.change_log(told.stdout)] if told.returncode == 0 else []
+def _git(root: str, *args: str, timeout: float | None = 600) -> str | None:
+    told = subprocess.run(["git", "-C", re.sub(r"^file:/+", "/", root), *args], capture_output=True, text=True, timeout=timeout, check=False)
+    return told.stdout if told.returncode == 0 else None
+
+
+def tracked_files(root: str) -> list[str] | None:
+    """The files of a checkout that are tracked, or new and not ignored; nothing if the folder is no checkout's root."""
+    top = _git(root, "rev-parse", "--show-prefix")
+    if top is None or top.strip():
+        return None
+    listed = _git(root, "ls-files", "-z", "--cached", "--others", "--exclude-standard")
+    return None if listed is None else sorted({x for x in listed.split("\0") if x})
+
+
+def git_tags(root: str) -> list[str]:
+    """Tags that read as versions."""
+    return [t for t in (_git(root, "tag") or "").split() if re.match(r"v?\d+\.\d+", t)]
+
+
+def git_history(spark: SparkSession, root: str, timeout: float | None = 600) -> DataFrame:
+    """(commit, author, ts, path, added, deleted) of the checked-out history without merges; the driver runs git, once, and reads one commit at a time."""
+    rows = []
+    command = ["git", "-C", re.sub(r"^file:/+", "/", root), "log", "--no-merges", "--numstat", "--format=%x01%H%x02%aE%x02%aI"]
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace") as run:
+        for commit in manifests.commits(run.stdout):
+            rows += [(r["sha"], r["author"], r["date"], r["path"], r["added"], r["deleted"]) for r in manifests.change_log(commit)]
+        run.wait(timeout)
+    rows = rows if not run.returncode else []
     return spark.createDataFrame(rows, "commit string, author string, date string, path string, added int, deleted int").select("commit", "author", F.to_timestamp("date").alias("ts"), "path", "added", "deleted")
 
 
@@ -185,3 +211,17 @@ def advisory_ranges(spark: SparkSession, path: str) -> DataFrame:
     ranged = rows.where("r is not null").select(F.col("id").alias("advisory"), F.col("f.package").alias("package"), F.nullif(bound("introduced"), F.lit("0")).alias("introduced"), bound("fixed").alias("fixed"), bound("last_affected").alias("last_affected"), "severity", "withdrawn")
     exact = rows.where("r is null").select("id", "f.package", F.explode("f.versions").alias("v"), "severity", "withdrawn").select(F.col("id").alias("advisory"), "package", F.col("v").alias("introduced"), F.lit(None).cast("string").alias("fixed"), F.col("v").alias("last_affected"), "severity", "withdrawn")
     return ranged.unionByName(exact)
+
+
+def end_of_life_cycles(spark: SparkSession, path: str) -> DataFrame:
+    """(cycle, eol) from a JSON document with a list of cycles; one without an end never ends."""
+    told = spark.read.option("multiLine", "true").schema("cycles array<struct<cycle:string,eol:string>>").json(path)
+    return told.select(F.explode("cycles").alias("c")).select("c.cycle", F.to_date("c.eol").alias("eol"))
+
+
+def package_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, version, expression, url) of the package descriptions in a cache of packages (id/version/id.nuspec)."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nuspec").load(folder).select("path", F.decode("content", "UTF-8").alias("text"))
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    pick = lambda p: F.nullif(F.trim(F.regexp_extract("text", p, 1)), F.lit(""))
+    return found.select(part(-3).alias("id"), part(-2).alias("version"), pick(r'<license[^>]*type="expression"[^>]*>([^<]+)</license>').alias("expression"), pick(r"<licenseUrl>([^<]+)</licenseUrl>").alias("url"))

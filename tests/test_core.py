@@ -1,5 +1,8 @@
 """Fold, shapes, operators: worked examples, oracle parity, invariance."""
 
+import json
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +41,48 @@ def test_bands_cut_the_unrounded_number(spark, score, band):
     assert fold(spark, dimensions=dims(score))["band"] == band
 
 
+EXAMPLES = json.loads((Path(__file__).parent / "fold_examples.json").read_text())
+
+
+@pytest.fixture(scope="module")
+def folded_examples(spark):
+    """All published examples folded in two jobs: those of the present rubric, and those of an older one that knows no categories of dimensions."""
+    out = {}
+    old = rubric.Catalog("rubric-2026.08.15", [], rubric.Scoring())
+    for catalog in (None, old):
+        docs = {str(k): x["evidence"] for k, x in enumerate(EXAMPLES) if (x["evidence"].get("rubricVersion") == old.version) == (catalog is old)}
+        f, _ = cli.fold_documents(spark, docs, catalog=catalog)
+        for r in f.errors.collect():
+            out[r.bundle_id] = {"error": r.error}
+        for r in f.headline.collect():
+            out[r.bundle_id] = {"cai": r.cai, "band": r.band, "lenses": {}}
+        for r in f.lenses.collect():
+            out[r.bundle_id]["lenses"][r.lens] = r
+    return out
+
+
+@pytest.mark.parametrize("k", range(len(EXAMPLES)))
+def test_published_examples(folded_examples, k):
+    got, want = folded_examples[str(k)], EXAMPLES[k]
+    assert ("error" in got) == ("error" in want)
+    if "error" in want:
+        return
+    want = want["expected"]
+    assert got["cai"] == pytest.approx(want["cai"], abs=0.051) and want["band"] in (None, got["band"])
+    for lens, x in (want.get("lenses") or {}).items():
+        r = got["lenses"][lens]
+        assert r.score == pytest.approx(x["score"], abs=0.051) and r.gated == x["gated"] and r["items"] == x["items"]
+        assert x["band"] in (None, r.band) and (x["weight"] is None or r.weight == pytest.approx(x["weight"], abs=0.0011))
+
+
+def test_a_catalog_states_its_parameters():
+    doc = {"rubricVersion": "rubric-x", "dimensions": [{"id": "D1", "lens": "codeHealth", "category": "code-quality"}], "scoring": {"withinLensQ": 0.5, "architectureSurface": {"minProjects": 4}, "bands": {"fair": 40}, "qualityBar": {"offsets": {"draft": -30}, "poorFloor": 1}}}
+    c = rubric.Catalog.read(doc)
+    assert (c.version, c.dimensions) == ("rubric-x", [("D1", "code-quality", "codeHealth")])
+    assert (c.scoring.within_q, c.scoring.across_q, c.scoring.min_projects, c.scoring.cutlines, c.scoring.bar_offsets, c.scoring.poor_floor) == (0.5, 0.55, 4, (90.0, 70.0, 40.0, 25.0), {"draft": -30}, 1)
+    assert rubric.Scoring.read({}) == rubric.Scoring()
+
+
 def test_eligibility_and_errors(spark):
     assert fold(spark, dimensions=[*dims(8.0, coverage=0.5), {"id": "D17", "category": "explicit-debt", "score": 8.0, "confidence": 1.0}])["lenses"][0]["score"] == 57.14
     assert "no measured" in fold(spark, dimensions=dims(8.0, advisory=True))["error"]

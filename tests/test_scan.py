@@ -34,7 +34,28 @@ def test_rules_fire_on_the_sample(scanned, rule):
 
 def test_postures_that_score_well_are_pruned(scanned):
     scores = {r.id: r.score for r in scanned[0].measurements.collect()}
-    assert scores["M3"] == 6.67 and not [f for f in scanned[1] if f["rule_id"] == "folder-structure"]
+    assert scores["P1"] == 7.5 and not [f for f in scanned[1] if f["rule_id"] == "ci-build-and-test-pipeline"]
+    assert scores["M1"] == 4.0 and len([f for f in scanned[1] if f["rule_id"] == "readme-quality"]) == 3
+
+
+def test_formulas_of_mixed_inputs(scanned):
+    """Dimensions whose formula isn't the density of their own findings, worked by hand on the sample."""
+    scores = {r.id: r.score for r in scanned[0].measurements.collect()}
+    # three tests: one asserts nothing, one sleeps
+    assert scores["D10"] == round(10 * (1 - 2 / 3), 2) and scores["D11"] == 0.0
+    # a README without a policy, a pipeline whose two items of five apply and fail
+    assert scores["D37"] == 0.0 and scores["D36"] == 0.0 and scores["P2"] == 0.0
+    # placeholders count for incompleteness; both projects are in one cycle
+    assert scores["IC1"] == scores["GD1"] == 6.07 and scores["AX3"] == 2.0 and scores["X5"] == 5.0
+    skipped = {r.id: r.reason for r in scanned[0].not_measured.collect()}
+    assert skipped["D30"].startswith("no packages") and skipped["P8"] == "no database" and skipped["D15"] == "too little history" and skipped["C1"].startswith("no personal")
+    assert not {"AC1", "D31"} & set(skipped) and "D34" in skipped
+
+
+def test_an_empty_surface_is_not_measured(spark):
+    rows = spark.createDataFrame([("notes.txt", "nothing here", False)], "path string, text string, is_binary boolean")
+    s = S.scan_sources(spark, S.tables.classified(rows))
+    assert {r.id for r in s.measurements.collect()} == {"M1", "M2", "D37", "P1", "P3"}
 
 
 def test_rules_stay_silent_on_clean_code(spark):
