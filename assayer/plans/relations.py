@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import colour, versions
+from assayer.functions import colour
 from assayer.operators import clones, detectors, graph, history
 from assayer.operators.common import checkpointed
 from assayer.plans import evidence
-from assayer.plans.fold import lookup
 from assayer.plans.rules import judged
 from assayer.sources import tables
 
@@ -167,7 +166,7 @@ def class_relations(types: DataFrame, methods: DataFrame, packages: DataFrame) -
     # formats read by hand where a library for them is referenced
     libraries = packages.where(F.col("id").rlike(_JSON_LIBRARY)).select("project").distinct()
     by_hand = methods.join(libraries, "project", "left_semi")
-    found.append(judged(by_hand, [("hand-rolled-structured-format-parsing", r"body rlike r'Regex(\.\w+\(|\()[^;]*(\{\\s\*\\?\"|\\?\"\\s\*:|</?\[?\w|<\(\?)'", "1", "concat(name, ' reads a structured format by pattern')")]))
+    found.append(judged(by_hand, [("hand-rolled-structured-format-parsing", r"body rlike r'Regex(\.\w+)?\([^;]*(\"\\{1,2}s\*:|\{\\{1,2}s\*|</?\(|<\w+\[\^>)'", "1", "concat(name, ' reads a structured format by pattern')")]))
     # options: kept with a default that is spelled again elsewhere, and never read
     kept = methods.where("name = type").select("path", "line", "type", F.explode(F.expr(r"regexp_extract_all(body, r'(_\w+)\s*=\s*\w+\s*\?\?\s*[^;]+;', 1)")).alias("option"), F.col("body").alias("made"))
     kept = kept.withColumn("spelled", F.expr(r"trim(regexp_extract(made, concat(option, r'\s*=\s*\w+\s*\?\?\s*([^;]+);'), 1))"))
@@ -344,11 +343,3 @@ def rule_documents(sources: DataFrame, row: dict[str, object], violations: int)
         ("architecture-rules-unenforced", f"{free} and {violations} > 0", "1", "'a rule that the code breaks and no test holds'"),
         ("architecture-rules-unenforced", rf"{free} and {violations} = 0 and text rlike r'(?i)(never|must not|may not)\s+(take|inject|use|call|depend on)\s+(the\s+)?`?(\w*DbContext|repositor|infrastructure)'", "3", "'a rule on types that no test holds'"),
     ])
-
-
-def roles_of(role: str):
-    return lookup(F.col(role), {"Domain": 0, "Application": 1, "Infrastructure": 2, "Web": 3, "Exe": 3})
-
-
-def semantic_version(text):
-    return versions.version_key(text)

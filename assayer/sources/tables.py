@@ -6,6 +6,7 @@ import re
 import subprocess
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,37 @@ def files(spark: SparkSession, root: str, tracked: list[str] | None = None) -> D
     path = F.regexp_replace("path", f"^.*?{base}/", "")
     skipped = "(^|/)(" + "|".join(map(re.escape, manifests.EXCLUDED_DIRS)) + ")/"
     binary = F.instr(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), "\0") > 0
+    hidden = _hidden(spark, root)
+    found, path = found.select(path.alias("path"), "content").unionByName(hidden), F.col("path")
     rows = found.select(path.alias("path"), F.when(binary, "").otherwise(F.decode("content", "UTF-8")).alias("text"), binary.alias("is_binary"))
     if tracked is not None:
         rows = rows.join(spark.createDataFrame([(x,) for x in tracked], "path string"), "path", "left_semi")
     return classified(rows.where(~F.col("path").rlike(skipped)))
 
 
+def _hidden(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of files that Spark's readers pass over because their name, or a folder's, begins with a dot or a low line: pipelines, settings."""
+    fs, top = pafs.FileSystem.from_uri(root) if re.match(r"[a-z0-9]+:", root) else (pafs.LocalFileSystem(), root)
+    base = fs.normalize_path(top).rstrip("/")
+    listed, folders = [], [base]
+    while folders:
+        for x in fs.get_file_info(pafs.FileSelector(folders.pop())):
+            if x.type == pafs.FileType.Directory and x.base_name not in manifests.EXCLUDED_DIRS:
+                folders.append(x.path)
+            elif x.type == pafs.FileType.File and re.search(r"(^|/)[._]", x.path[len(base) + 1 :]):
+                listed.append((x.path[len(base) + 1 :],))
+
+    def read(batches):
+        own = pafs.FileSystem.from_uri(root)[0] if re.match(r"[a-z0-9]+:", root) else pafs.LocalFileSystem()
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            for name in paths:
+                with own.open_input_file(f"{base}/{name}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    return spark.createDataFrame(listed, "path string").mapInArrow(read, "path string, content binary")
+
+
 def classified(rows: DataFrame) -> DataFrame:
     """Adds is_test and is_generated to rows (path, text, ...)."""
     generated = F.col("path").rlike(_GENERATED_PATH) | F.contains(F.left("text", F.lit(600)), F.lit("<auto-generated"))

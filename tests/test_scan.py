@@ -102,6 +102,7 @@ def test_scan_command(spark, tmp_path, capsys):
     (tmp_path / "repo/obj/x.cs").write_text("class Skipped { }")
     assert cli.main(["scan", str(tmp_path / "repo"), "--out", str(tmp_path / "out")]) == 0
     evidence = json.loads((tmp_path / "out/evidence.json").read_text())
+    assert "unpinned-ci-action" in (tmp_path / "out/findings.sarif").read_text() and (tmp_path / "out/summary.md").read_text().startswith("| id |") and "rule_id" in (tmp_path / "out/findings.tsv").read_text()
     assert {d["id"] for d in evidence["dimensions"]} >= {"D1", "D17"} and evidence["headlineScore"] > 0 and "Skipped" not in (tmp_path / "out/findings.sarif").read_text()
     assert cli.main(["verify", str(tmp_path / "out/evidence.json")]) == 0
     assert cli.main(["verify", str(tmp_path / "out/evidence.json"), "--expect", "1"]) == 1
