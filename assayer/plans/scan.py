@@ -169,17 +169,19 @@ def scan_sources(spark: SparkSession, sources: DataFrame, quality_bar: str | Non
     With `changes` (commit, author, ts, path) history is read, with `advisories`, `cycles` (cycle, eol) as of a date, and `licences` (metadata, copyleft ids) packages are;
     what isn't given isn't measured, with the reason. Facts, findings and measurements are read several times, so each is written once as a reliable checkpoint.
     """
-    sources = checkpointed(sources)
+    # texts are small and what is done with them isn't: rows are dealt to all cores, where Spark would put small tables into one task
+    wide = 2 * spark.sparkContext.defaultParallelism
+    sources = checkpointed(sources.repartition(wide))
     projects = checkpointed(tables.projects(sources))
     own = checkpointed(R.owned(sources, projects))
     test_projects = projects.where("role = 'Test'").select(F.col("path").alias("project"), F.lit(True).alias("__t"))
     parsed = tables.code(sources).join(own, "path", "left").join(F.broadcast(test_projects), "project", "left")
     parsed = checkpointed(parsed.withColumn("is_test", F.col("is_test") | F.coalesce("__t", F.lit(False))).drop("__t"))
     code = parsed.where(~F.col("is_test"))
-    places = parsed.select("path", "project", "project_name", "role")
-    methods, types = checkpointed(tables.exploded(parsed, "methods").join(places, "path")), tables.exploded(parsed, "types").join(places, "path")
+    places = parsed.select("path", "project", "project_name", "role")  # a row for each file of one repository
+    methods, types = checkpointed(tables.exploded(parsed, "methods").join(F.broadcast(places), "path").repartition(wide)), tables.exploded(parsed, "types").join(F.broadcast(places), "path")
     surface = methods.where("array_contains(modifiers, 'public')").groupBy("path", F.col("type").alias("name")).agg(F.flatten(F.collect_list(F.concat(F.array("returns"), "params"))).alias("surface"))
-    types = checkpointed(types.where(~F.col("is_test")).join(surface, ["path", "name"], "left").withColumn("surface", F.coalesce("surface", F.array().cast("array<string>"))))
+    types = checkpointed(types.where(~F.col("is_test")).join(surface, ["path", "name"], "left").withColumn("surface", F.coalesce("surface", F.array().cast("array<string>"))).repartition(wide))
     edges = checkpointed(file_edges(parsed))
     production = edges.join(code.select(F.col("path").alias("src")), "src", "left_semi")
     nodes = checkpointed(tables.html_nodes(sources.where(F.col("path").rlike(r"\.(html?|razor|cshtml)$") & ~F.col("is_test"))))
