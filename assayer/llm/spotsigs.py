@@ -2,9 +2,9 @@
 
 A signature is a chain: a common word (the anchor) and the two content words that follow it; frequent words in
 between are passed over. A text's fingerprint is the set of its chains, so what stands around the running text
-(menus, numbers, names) hardly counts. Beside its c chains a text has single words as signatures, those whose hash lies in the
-lowest part 1 / (1 + c): all words of a text without a chain, hardly any of a long one. One rule for all texts, so
-a text that gains its first chain by an edit keeps half of its signatures, and with more chains what it loses goes over into them.
+(menus, numbers, names) hardly counts. Of the words that stand in no chain a text has some as signatures by themselves: as many as their share
+of its words, picked by hash. Those are all words of a text without a chain and hardly any of running text. One rule for all texts, so a text that gains
+its first chains by an edit keeps nearly all of the others. A signature that a text repeats counts as often (the n-th time as a signature of its own).
 
 Two fingerprints are compared by pruned Jaccard: sets are partitioned by length such that sets of a likeness of `least` or more (default 0.05) are in
 one partition or in neighbouring ones; pairs further apart, and those whose Jaccard turns out lower, have likeness 0. Signatures have 32 bits.
@@ -53,6 +53,17 @@ def _common() -> np.ndarray:
 _COMMON = _common()
 
 
+def _numbered(owner: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The signatures, told apart by how often their text has had them before."""
+    order = np.lexsort((s, owner))
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (owner[order][1:] != owner[order][:-1]) | (s[order][1:] != s[order][:-1])
+    at = np.arange(len(s))
+    times = np.empty(len(s), np.int64)
+    times[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return np.where(times > 0, mix(s + times.astype(U64) * U64(_MIX)), s)
+
+
 class Sets:
     """The signature sets of a block of texts: `packed` holds text << 32 | signature, sorted, each once."""
 
@@ -80,10 +91,16 @@ class Sets:
         for k in range(chain):
             s = mix(s * U64(_MIX) + h[content[nth + k]])
         owner = doc[anchor]
-        # the words in the lowest part of all hashes, the smaller the more chains there are; without words: the text itself
-        share = U64(2**64 - 1) // (np.bincount(owner, minlength=n).astype(U64) + U64(1))
-        alone = np.flatnonzero(mix(h) <= share[doc])
-        owner, s = np.concatenate([owner, doc[alone]]), np.concatenate([s, mix(h[alone] ^ U64(_MIX))])
+        # words outside chains, by their share; without words: the text itself
+        outside = np.ones(len(h), bool)
+        outside[anchor] = False
+        for k in range(chain):
+            outside[content[nth + k]] = False
+        alone = np.flatnonzero(outside)
+        share = np.bincount(doc[alone], minlength=n) / np.maximum(w.counts, 1)
+        single = _numbered(doc[alone], mix(h[alone] ^ U64(_MIX)))
+        keep = mix(single) / 2.0**64 <= share[doc[alone]]
+        owner, s = np.concatenate([owner, doc[alone[keep]]]), np.concatenate([_numbered(owner, s), single[keep]])
         odd = np.flatnonzero((w.counts == 0) & (np.asarray(pc.binary_length(texts)) > 0))
         if len(odd):
             owner = np.concatenate([owner, odd])

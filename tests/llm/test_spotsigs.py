@@ -89,6 +89,9 @@ def test_a_text_without_a_chain_stays_like_its_edited_form():
     assert spotsigs.jaccard(before, after) > 0.3
     long = " ".join(f"the cat{i} ran{i}" for i in range(200))
     assert len(spotsigs.Sets.of(pa.array([long])).packed) < 200 * 1.1
+    for text in ("Thsh " * 300, " | ".join(f"item{i}" for i in range(60)), "the cat ran " * 100):
+        kept = text[: len(text) * 2 // 3] + " ".join(f"the dog{i} of house{i} was" for i in range(12))
+        assert spotsigs.jaccard(*prints([text, kept])) > 0.15, text[:20]
 
 
 def test_rows_of_one_key_are_dealt_to_several_parts(spark):
