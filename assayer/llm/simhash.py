@@ -39,7 +39,8 @@ _HEAD = 256
 _MOST = 8192
 #: With so few bits left a node has 8192 rows at most.
 _FEW_BITS = 13
-_PAIRS = 1 << 20
+#: Pairs of nodes that are looked at in one go.
+_PAIRS = 1 << 16
 
 
 def blocks_below(mask: int) -> list[int]:
@@ -184,7 +185,9 @@ class Tree:
             width = (eb - fb)[of]
             x, y = fa[of] + nth // width, fb[of] + nth % width
             ok = x < y if k == 1 else x <= y
-            self._follow(k - 1, x[ok], y[ok], apart[of][ok], both[of][ok])
+            below = x[ok], y[ok], apart[of[ok]], both[of[ok]]
+            del of, nth, width, x, y, ok
+            self._follow(k - 1, *below)
 
 
 def forest(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
