@@ -40,7 +40,7 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _BASES = (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
 _LONG = 64
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _NONE = np.int64(1 << 62)
 #: Stands for the NUL character in index texts, in which 0 stands between segments.
 _NUL = 0x110000
