@@ -38,6 +38,8 @@ UNDETERMINED = "und"
 _SHARPNESS = 20.0
 _MARGIN = 0.1
 _LEAST_SEEN = 20
+#: Texts whose counts (DIM of them each) are held at once.
+_ROWS = 256
 #: ASCII bytes that are no letters count as space.
 _LETTERS = LOWER.copy()
 _LETTERS[:65] = 32
@@ -83,7 +85,7 @@ class Model:
         """(language, score, distance, rejected) of each text."""
         letters = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
         lang, score, dist, rejected = [], [], [], []
-        for a, b in blocks(texts):
+        for a, b in blocks(texts, rows=_ROWS):
             c = counts(texts[a:b])
             known = letters[a:b]
             if not len(self.centroids):
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(column(batch, "text")):
+            for a, b in blocks(column(batch, "text"), rows=_ROWS):
                 part = batch.slice(a, b - a)
                 c = [np.stack([at := np.flatnonzero(x), x[at]]).astype(np.uint32).tobytes() for x in counts(column(part, "text"))]
                 yield pa.RecordBatch.from_arrays([column(part, "id").cast(pa.string()), column(part, "lang"), pa.array(c, pa.binary())], names=["id", "lang", "counts"])

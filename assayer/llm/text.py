@@ -136,13 +136,13 @@ def gram_starts(first: np.ndarray, k: int) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def blocks(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes of text."""
+def blocks(texts: pa.Array, limit: int = 1 << 19, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes of text, and of `rows` rows at most."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     if not len(sizes):
         return
     group = (np.cumsum(sizes + 16) // limit).astype(np.int64)
-    edges = np.flatnonzero(np.diff(group)) + 1
+    edges = np.flatnonzero((np.diff(group) != 0) | (np.arange(1, len(sizes)) % rows == 0)) + 1
     yield from zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)], strict=True)
 
 
