@@ -20,6 +20,12 @@ def even2(x: Column) -> Column:
     return F.bround(x, 2)
 
 
+def away(x: Column, places: int) -> Column:
+    """Rounded half away from zero where the scaled double is a half, as C#'s Math.Round and SQL's round do; F.round goes by the shortest decimal text, in which 15.549999999999999 is below the half."""
+    scale = F.lit(10.0**places)
+    return F.round(x * scale) / scale
+
+
 def density_of(load: Column, size: Column, k: float) -> Column:
     """10 * exp(-k * load / max(1, size)) for a load of findings already summed."""
     return 10 * F.exp(-F.lit(float(k)) * load / F.greatest(F.lit(1.0), size.cast("double")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions import shapes
 from assayer.plans import rubric
 
 #: Why taxonomy concepts have no rule here.
@@ -72,8 +73,9 @@ def sarif(findings: DataFrame, rules: DataFrame, tool: str = "assayer", version:
 
 
 def scores_json(scores: DataFrame) -> DataFrame:
-    """One row: ids and scores on a scale of 100, one place, in id order."""
-    items = F.sort_array(F.collect_list(F.struct("id", F.round(F.col("score") * 10, 1).alias("s"))))
+    """One row: ids and scores on a scale of 100, one place, in id order; rows without an id are left out, those of one id are in the order of their scores."""
+    scores = scores.where("id is not null")
+    items = F.sort_array(F.collect_list(F.struct("id", shapes.away(F.col("score") * 10, 1).alias("s"))))
     pairs = F.transform(items, lambda x: F.concat(F.to_json(F.struct(x["id"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(x["id"].alias("k")))) - 6), F.lit(":"), x["s"].cast("string")))
     return scores.agg(pairs.alias("p")).select(F.concat(F.lit("{"), F.array_join("p", ","), F.lit("}")).alias("json"))
 

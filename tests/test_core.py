@@ -229,6 +229,18 @@ def test_query_against_its_oracle(spark, duck, name):
     assert rows == canon([[r[k] for k in at] for r in want.fetchall()])
 
 
+@pytest.mark.parametrize("balances", [[710.5, -950.5, 435.5, 9999.99, -2000.0, 710.49, 710.51, None], []])
+def test_scores_of_balances_at_a_half_are_those_of_the_sql(spark, tmp_path, balances):
+    """Doubles just below a half whose product with ten is the half; a row without a name; no rows."""
+    rows = [(k, f"Supplier#{k}", 1, b) for k, b in enumerate(balances)] + [(99, None, 1, 500.0)] * bool(balances)
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    got = catalog.QUERIES["scores_json"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.execute(catalog.ORACLES["scores_json"]).fetchall()
+    assert not balances or json.loads(got[0].json)["Supplier#0"] == 15.6
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
